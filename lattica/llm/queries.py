@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, packing, quality, rules, sharding, topk
+from lattica.llm import bpe, jaccard, packing, quality, rules, sharding, topk
 from lattica.llm.session import prepared
 
 
@@ -25,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_join(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), keep=False)
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_quality, op6_topk, op7_token_counts, op8_sharding, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_jaccard, op2_bpe, op3_quality, op6_topk, op7_token_counts, op8_sharding, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
