@@ -258,6 +258,19 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) ->
     pairs = postings.mapInArrow(meet, "a long, b long, na long, nb long, shared long").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
     t = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(num + den)) - F.ceil(num * F.col("nb") / F.lit(den))
     near = pairs.where(F.col("shared") >= t).select("a", "b")  # one less than T', as the division is of doubles
+
+    def rep_sets(batch: pa.RecordBatch):
+        for ids, sets in _sets(batch, words):
+            yield ids, np.array([set_key(s) for s in sets], np.int64), sets
+
+    return verified(docs, near, known, rep_sets, num, den)
+
+
+def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num: int, den: int) -> DataFrame:
+    """(a, b): links of at least num/den that connect all linked classes of each component of ``near``
+    (a, b). ``known`` has a row per class (cls, n, rep): set size and the smallest id of a text that
+    holds it; ``rep_sets(batch)`` gives (ids, class ids, sets) of the texts of a batch."""
+    spark = docs.sparkSession
     blocks = components(near)
     placed = known.join(blocks, known.cls == blocks.node).select("cls", "rep", "n", F.col("root").alias("block")).checkpoint()
     wanted = bitmap(placed.select("rep"), lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], CELLS, lambda c: c > 0)
@@ -267,8 +280,8 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) ->
         for batch in batches:
             ids = batch.column(0)
             on = has(reps.value, textops.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(textops.U))) if len(ids) else np.zeros(0, bool)
-            for rows, sets in _sets(batch.filter(pa.array(on)), words):
-                yield pa.RecordBatch.from_arrays([rows, pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cls", "shingles"])
+            for rows, keys, sets in rep_sets(batch.filter(pa.array(on))):
+                yield pa.RecordBatch.from_arrays([rows, pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cls", "shingles"])
 
     held = docs.mapInArrow(fetch, "rep long, cls long, shingles binary")
     room = placed.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("block", F.greatest(F.ceil(F.col("c") / SUB), F.ceil(F.col("s") / SUB_SIZE)).cast("int").alias("m"))

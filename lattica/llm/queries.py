@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, jaccard, packing, quality, rules, sharding, topk, toxicity
+from lattica.llm import bpe, jaccard, packing, paragraphs, quality, rules, sharding, topk, toxicity
 from lattica.llm.session import prepared
 
 
@@ -37,6 +37,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op2_bpe, op3_quality, op5_toxicity, op6_topk, op7_token_counts, op8_sharding, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_jaccard, op2_bpe, op3_quality, op4_substring_dedup, op5_toxicity, op6_topk, op7_token_counts, op8_sharding, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
