@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE = 400_000
+TABLE = 800_000
 DEFAULT = "word_bpe_49k.json"
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -52,12 +52,12 @@ def byte_letters() -> list[str]:
 class Table(dict):
     """A bounded memo of a function of one word."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = TABLE):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word):
-        if len(self) >= TABLE:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = self.make(word)
         return value
@@ -200,6 +200,82 @@ class WordBpe:
     def decode(self, ids) -> str:
         return b" ".join([self.strings[int(i)] for i in ids]).decode()
 
+    def learn(self, texts: list[str]) -> None:
+        """Fill the tables of ids for all new words of the texts, merging all new pieces of one length
+        together: in each round every piece that has one merges its leftmost lowest pair."""
+        words: set[str] = set()
+        for text in texts:
+            for _, part in self.parts(text):
+                words.update(part)
+        words.difference_update(self.word_ids)
+        if len(self.word_ids) + len(words) > self.word_ids.most:
+            self.word_ids.clear()
+        lows = [w.lower() if w.isascii() else self.lowered(w) for w in words]
+        spelled = [(low,) if low.isalpha() else self.pieces(low) for low in lows]
+        pieces = set().union(*spelled)
+        pieces.difference_update(self.piece_ids)
+        if len(self.piece_ids) + len(pieces) > self.piece_ids.most:
+            self.piece_ids.clear()
+        new: dict[int, list[tuple[str, bytes]]] = {}
+        for p in pieces:
+            raw = p.encode()
+            new.setdefault(len(raw), []).append((p, raw))
+        for size, group in new.items():
+            if size <= 48:
+                ids, count = self.merged_together(np.frombuffer(b"".join([raw for _, raw in group]), np.uint8).reshape(-1, size))
+                flat, width = ids.astype("<u4").tobytes(), 4 * size
+                self.piece_ids.update({p: flat[i * width : i * width + 4 * n] for i, ((p, _), n) in enumerate(zip(group, count.tolist(), strict=True))})
+        ids = self.piece_ids
+        self.word_ids.update({w: ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own]) for w, own in zip(words, spelled, strict=True)})
+
+    def merged_together(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (each row's at its left) and their number for pieces of equal length, a row each."""
+        if not hasattr(self, "pair_keys"):
+            pairs = np.fromiter(self.rank.keys(), np.int64, len(self.rank))
+            self.pair_order = np.argsort(pairs)
+            self.pair_keys = pairs[self.pair_order]
+            self.pair_made = np.array(self.made)
+        none = len(self.pair_keys)
+
+        def ranks(a, b):
+            key = a << 20 | b
+            at = np.minimum(np.searchsorted(self.pair_keys, key), none - 1)
+            return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_order[at], none)
+
+        symbol = np.array(self.plain)[raw]
+        symbol[:, -1] = np.array(self.ending)[raw[:, -1]]
+        count = np.full(len(raw), raw.shape[1])
+        if raw.shape[1] == 1:
+            return symbol, count
+        out = symbol.copy()
+        rows, rank = np.arange(len(raw)), ranks(symbol[:, :-1], symbol[:, 1:])
+        while len(rows):
+            at = rank.argmin(1)
+            each = np.arange(len(rows))
+            best = rank[each, at]
+            done = best == none
+            if done.any():
+                out[rows[done], : symbol.shape[1]] = symbol[done]
+                live = ~done
+                rows, symbol, rank, at, best = rows[live], symbol[live], rank[live], at[live], best[live]
+                each = np.arange(len(rows))
+                if not len(rows):
+                    break
+            count[rows] -= 1
+            symbol[each, at] = self.pair_made[best]
+            column = np.arange(symbol.shape[1] - 1)
+            symbol = np.where(column > at[:, None], symbol[:, 1:], symbol[:, :-1])
+            if symbol.shape[1] == 1:
+                out[rows, :1] = symbol
+                break
+            rank = np.where(column[:-1] >= at[:, None], rank[:, 1:], rank[:, :-1])
+            inner = at < symbol.shape[1] - 1
+            i = np.flatnonzero(inner)
+            rank[i, at[i]] = ranks(symbol[i, at[i]], symbol[i, at[i] + 1])
+            i = np.flatnonzero(at > 0)
+            rank[i, at[i] - 1] = ranks(symbol[i, at[i] - 1], symbol[i, at[i]])
+        return out, count
+
     def count(self, text: str) -> int:
         get = self.word_counts.__getitem__
         return sum([1 if i is not None else sum(map(get, words)) for i, words in self.parts(text)])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe
 
-POOL = 96
+POOL = 48
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -114,8 +114,10 @@ def pack(docs: DataFrame, capacity: int = 2048, closing: int = 1, vocab: str | N
             return pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            encoder.learn(texts)
+            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids = encoder.encode(text) + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
