@@ -102,7 +102,7 @@ def to_blocks(cells: DataFrame, names: list[str]) -> DataFrame:
     """The block table of a cell table (block_id, cell, fields)."""
     rows = F.array_sort(F.collect_list(F.struct("cell", *names)))
     sorted_ = cells.groupBy("block_id").agg(rows.alias("r"))
-    return sorted_.select("block_id", *[F.transform("r", lambda s, n=n: s[n]).alias(n) for n in names])
+    return sorted_.select("block_id", *[F.col(f"r.{n}").alias(n) for n in names])
 
 
 def _run(place, integrator, core, t, dt, steps):
