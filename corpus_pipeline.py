@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import jaccard, packing, paragraphs, quality, rules
-from lattica.llm.session import prepared
+from lattica.llm.session import prepared, unused
 
 ORACLE_SQL = None
 
@@ -14,16 +14,14 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the classifier does not reject (score of at least 0.3)."""
     labels = prepared(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.scored(docs, quality.fit(docs, labels), "_score").where("_score >= 0.3").drop("_score")
+    name = unused(docs, "_score")
+    return quality.scored(docs, quality.fit(docs, labels), name).where(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that pass the base rules and lie inside their language's perplexity band."""
     prepared(spark)
-    model = rules.fit(docs)
-    slim = docs.select("lang", "text")
-    bands = rules.bands(rules.scored(slim, model).drop("text").checkpoint())
-    return rules.verdict(rules.scored(docs, model), bands).where("kept").select(*docs.columns)
+    return rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

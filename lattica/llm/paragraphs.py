@@ -28,6 +28,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from lattica.llm import jaccard, textops
 from lattica.llm.graph import components
+from lattica.llm.session import unused
 
 LINE, SENTENCE, GAP, RUN = 20, 6, 12, 25
 BANDS, ROWS, WORDS = 16, 4, 5
@@ -238,30 +239,31 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts without removed spans take no part in the join: a bitmap of fixed size tells them apart.
     """
-    spans = duplicate_spans(docs, id_col, text_col).where("removed").select(F.col("doc_id").alias("_id"), F.col("txt").alias("_txt"), "start", "end").checkpoint()
-    hit = jaccard.bitmap(spans.select("_id"), lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], jaccard.CELLS, lambda c: c > 0)
+    id_, txt, cut_, cuts_ = (unused(docs, n) for n in ("_id", "_txt", "_cut", "_cuts"))
+    spans = duplicate_spans(docs, id_col, text_col).where("removed").select(F.col("doc_id").alias(id_), F.col("txt").alias(txt), "start", "end").checkpoint()
+    hit = jaccard.bitmap(spans.select(id_), lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], jaccard.CELLS, lambda c: c > 0)
     marks = docs.sparkSession.sparkContext.broadcast(hit)
-    named = docs.withColumn("_id", F.col(id_col).cast("long"))
-    cuts = spans.groupBy("_id", "_txt").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    named = docs.withColumn(id_, F.col(id_col).cast("long"))
+    cuts = spans.groupBy(id_, txt).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts_))
 
     def split(batches):
         for batch in batches:
             for part in textops.chunks(batch, text_col):
-                ids = part.column(part.schema.get_field_index("_id"))
+                ids = part.column(part.schema.get_field_index(id_))
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 at = part.schema.get_field_index(text_col)
                 keys = text_keys(pa.RecordBatch.from_arrays([part.column(at)], ["text"]))
                 cut = known & jaccard.has(marks.value, textops.mix(ids.view(textops.U)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys), pa.array(cut)], [*part.schema.names, "_txt", "_cut"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys), pa.array(cut)], [*part.schema.names, txt, cut_])
 
-    extra = [StructField("_txt", LongType()), StructField("_cut", BooleanType())]
+    extra = [StructField(txt, LongType()), StructField(cut_, BooleanType())]
     marked = named.mapInArrow(split, StructType([*named.schema.fields, *extra]))
 
     def shorten(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts, cuts = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_cuts")).to_pylist()
+            texts, cuts = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index(cuts_)).to_pylist()
             out, keep = [], []
             for text, own in zip(texts, cuts, strict=True):
                 if own and text:
@@ -278,9 +280,9 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cols[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    joined = marked.where("_cut").join(cuts, ["_id", "_txt"], "left")
+    joined = marked.where(F.col(cut_)).join(cuts, [id_, txt], "left")
     cleaned = joined.mapInArrow(shorten, joined.schema).select(*docs.columns)
-    return marked.where("not _cut").select(*docs.columns).union(cleaned)
+    return marked.where(~F.col(cut_)).select(*docs.columns).union(cleaned)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:

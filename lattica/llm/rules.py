@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from lattica.llm import textops
+from lattica.llm.session import unused
 
 ORDER, CLASSES = 4, 64
 WIDTH, LEAST, FLOOR = 8.0, 200, 0.05
@@ -204,8 +205,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
     return KneserNey(table["gram"].to_numpy(), table["n"].to_numpy())
 
 
-def scored(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and, in one struct ``_q``, the base columns and the log perplexity."""
+def scored(docs: DataFrame, model: KneserNey, text_col: str = "text", name: str = "_q") -> DataFrame:
+    """All columns of ``docs`` and, in one struct ``name``, the base columns and the log perplexity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -224,14 +225,14 @@ def scored(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataFra
                 ppl = np.where(size > 0, -cost / np.maximum(size, 1), 0.0)
                 cols = [pa.array(v) for v in base.values()] + [pa.array(ppl)]
                 inner = pa.StructArray.from_arrays(cols, [*base, "log_perplexity"])
-                yield pa.RecordBatch.from_arrays([*part.columns, inner], [*part.schema.names, "_q"])
+                yield pa.RecordBatch.from_arrays([*part.columns, inner], [*part.schema.names, name])
 
     measures = StructType.fromDDL(f"{BASE}, log_perplexity double")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_q", measures)]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, measures)]))
 
 
-def base_failed():
-    q = F.col("_q")
+def base_failed(name: str = "_q"):
+    q = F.col(name)
     return (q.n_words < 50) | (100 * q.n_repeat_words > 50 * q.n_words)
 
 
@@ -250,12 +251,14 @@ def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, lea
     return rows.join(F.broadcast(every)).select(F.col("lang").alias("band_lang"), F.when(few, F.col("all_low")).otherwise(F.col("low")).alias("low"), F.when(few, F.col("all_high")).otherwise(F.col("high")).alias("high"))
 
 
-def verdict(measured: DataFrame, table: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """``measured`` with base_failed and kept."""
-    joined = measured.join(table, F.col(lang_col).cast("string").eqNullSafe(F.col("band_lang")), "left")
-    p = F.col("_q.log_perplexity")
-    inside = F.coalesce((p >= F.col("low")) & (p <= F.col("high")), F.lit(True))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & inside).drop("band_lang", "low", "high")
+def kept(measured: DataFrame, table: DataFrame, lang_col: str = "lang", name: str = "_q") -> tuple[DataFrame, str]:
+    """``measured`` with the verdict in one more column, and that column's name."""
+    lang, low, high, out = (unused(measured, n) for n in ("_band_lang", "_low", "_high", "_kept"))
+    table = table.select(F.col("band_lang").alias(lang), F.col("low").alias(low), F.col("high").alias(high))
+    joined = measured.join(table, F.col(lang_col).cast("string").eqNullSafe(F.col(lang)), "left")
+    p = F.col(name)["log_perplexity"]
+    inside = F.coalesce((p >= F.col(low)) & (p <= F.col(high)), F.lit(True))
+    return joined.withColumn(out, ~base_failed(name) & inside).drop(lang, low, high), out
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
@@ -263,6 +266,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = fit(docs, text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     measured = scored(slim, model, "text").drop("text").checkpoint()
-    out = verdict(measured, bands(measured, width=width))
+    out, verdict = kept(measured, bands(measured, width=width))
     names = [f.split()[0] for f in BASE.split(", ")]
-    return out.select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in names], "base_failed", "kept", F.col("_q.log_perplexity").alias("log_perplexity"))
+    return out.select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in names], base_failed().alias("base_failed"), F.col(verdict).alias("kept"), F.col("_q.log_perplexity").alias("log_perplexity"))
+
+
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that are kept. Texts are measured twice, once for the bands and once beside
+    their rows, so that no text is shuffled."""
+    model = fit(docs, text_col)
+    slim = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    limits = bands(scored(slim, model).drop("text").checkpoint(), width=width)
+    name = unused(docs, "_q")
+    out, verdict = kept(scored(docs, model, text_col, name), limits, lang_col, name)
+    return out.where(F.col(verdict)).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
 
@@ -20,3 +20,11 @@ def prepared(spark: SparkSession) -> SparkSession:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
     return spark
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
