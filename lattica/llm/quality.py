@@ -102,7 +102,7 @@ class Net:
         unit = np.maximum(mean @ self.hidden + self.base, 0)
         some = np.flatnonzero(chunks)
         begin = (np.cumsum(chunks) - chunks)[some]
-        pooled = np.zeros((n, HIDDEN), np.float32)
+        pooled = np.zeros((n, HIDDEN), unit.dtype)
         pooled[some] = np.maximum.reduceat(unit, begin, axis=0)
         logit = pooled @ self.out + self.bias[0] + self.shift
         return logit, (under, act, size, left, right, owner, weight, mean, unit, pooled)

@@ -104,8 +104,8 @@ def base_measures(data: np.ndarray, offs: np.ndarray, starts, ends, text, hashed
     ends_here = np.flatnonzero(data == 10)
     line_starts = np.unique(np.concatenate([offs[:-1][offs[:-1] < offs[1:]], ends_here + 1]))
     line_starts = line_starts[line_starts < len(data)]
-    stops = np.unique(np.concatenate([offs[1:], ends_here]))
-    line_ends = stops[np.searchsorted(stops, line_starts)] if len(line_starts) else line_starts
+    breaks = np.append(ends_here, len(data))
+    line_ends = np.minimum(breaks[np.searchsorted(breaks, line_starts)], offs[np.searchsorted(offs, line_starts, "right")]) if len(line_starts) else line_starts
     dark = np.concatenate([[0], np.cumsum(black)])
     with_word = dark[line_ends] > dark[line_starts]
     line_starts, line_ends = line_starts[with_word], line_ends[with_word]
