@@ -47,17 +47,25 @@ def _local(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(nodes[roots[on]])], ["a", "b"])
 
 
+FINISH = 1 << 19
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node of its component.
 
     Each round points every node at its smallest neighbour and keeps the links between the targets; a
-    round at least halves the nodes that are left. Rounds are cut by checkpoint(). Null ends and loops
-    are ignored.
+    round at least halves the nodes that are left. At most ``FINISH`` links, a fixed 8 MB, are finished
+    by one task on an executor. Rounds are cut by checkpoint(). Null ends and loops are ignored.
     """
     ordered = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = ordered(ordered(links).mapInArrow(_local, "a long, b long")).checkpoint()
     levels: list[DataFrame] = []
-    while not left.isEmpty():
+    while (size := left.count()) > 0:
+        if size <= FINISH:
+            done = left.coalesce(1).mapInArrow(_local, "a long, b long").checkpoint()
+            roots = done.select("b").distinct()
+            levels.append(done.union(roots.select("b", "b")).toDF("node", "p"))
+            break
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("p")).checkpoint()
         levels.append(up)

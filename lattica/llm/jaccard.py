@@ -8,9 +8,10 @@ similarity of their sets is at least num/den. Steps, none of which lists all pai
 2. Prefix: linked sets x, y share a shingle of their first n - ceil(n num/den) + 1, and at least
    T'(x, y) = ceil(num (nx + ny) / (num + den)) - ceil(nx num/den) + 1 of them (nx the larger).
    Each class posts its prefix; a partition holds whole inverted lists.
-3. Short lists (up to ``SHORT``) count common prefix shingles of pairs of compatible size; pairs with
-   at least T' stay. Members of longer lists are only chained, in order of size. Both give blocks:
-   every linked pair lies in one block.
+3. Each member of a short list (up to ``SHORT``) gets the list, its smaller members of compatible size;
+   lists of one class together count common prefix shingles, and pairs with at least T' stay. Members
+   of longer lists are only chained, in order of size. Both give blocks: every linked pair lies in
+   one block.
 4. In each block the search is exact, by DivideSkip: the T-1 longest lists of a query are set aside,
    the short ones heap-merged, and what can still reach the needed overlap is probed in the long ones
    by binary search. Blocks over ``SUB`` classes are split into pairs of sub-blocks.
@@ -138,6 +139,14 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return found
 
 
+def probe(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets, by binary search of the smaller in the larger."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    return int((a[np.minimum(at, len(a) - 1)] == b).sum())
+
+
 def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect all linked sets of one block. Where ``sides`` holds two values, pairs of one
     side are left out (another task has them)."""
@@ -153,6 +162,13 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
     root = np.arange(len(order))
     two = len(np.unique(sides)) > 1
     side = sides[order]
+    recent: dict[int, list[int]] = {int(k): [] if k == side[0] and two else [0] for k in np.unique(sides)}
+
+    def merge(x: int, y: int) -> None:
+        if forest.join(x, y):
+            links.append((int(order[x]), int(order[y])))
+            root[(root == root[x]) | (root == root[y])] = forest.find(x)
+
     for x in range(1, len(order)):
         n = int(sizes[order[x]])
         floor = -(-num * n // den)
@@ -160,6 +176,13 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
         if two:
             open_ &= side[:x] != side[x]
         open_[: np.searchsorted(sizes[order[:x]], floor)] = False
+        for y in recent[int(side[x])] if open_.any() else ():  # one of these often links: no search then
+            if open_[y] and probe(sets[order[x]], sets[order[y]]) >= need(n, int(sizes[order[y]]), num, den):
+                merge(x, y)
+                open_ &= root[:x] != root[x]
+        for k in recent:
+            if not two or k != side[x]:
+                recent[k] = [x, *recent[k][:7]]
         if not open_.any():
             continue
         lists = []
@@ -173,10 +196,8 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
         if len(lists) < floor:
             continue
         for y, count in divide_skip(lists, floor).items():
-            if count >= need(n, int(sizes[order[y]]), num, den) and forest.join(x, y):
-                links.append((int(order[x]), int(order[y])))
-                a = forest.find(x)
-                root[(root == root[x]) | (root == root[y])] = a
+            if count >= need(n, int(sizes[order[y]]), num, den):
+                merge(x, y)
     return links
 
 
@@ -235,29 +256,41 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) ->
         length = np.diff(np.concatenate([starts, [len(token)]]))
         long = np.flatnonzero(np.repeat(length > SHORT, length))
         chained = long[1:][(token[long[1:]] == token[long[1:] - 1]) & (size[long[1:]].astype(np.int64) * num <= size[long[1:] - 1].astype(np.int64) * den)]
-        left, right, weight = [cls[chained - 1]], [cls[chained]], [np.full(len(chained), 1 << 30)]
-        short = np.repeat((length > 1) & (length <= SHORT), length)
-        token, cls, size = token[short], cls[short], size[short].astype(np.int64)
-        pairs = []
-        for gap in range(1, SHORT):
-            if gap >= len(token):
-                break
-            at = np.flatnonzero(token[gap:] == token[:-gap])
-            if not len(at):
-                break
-            at = at[size[at + gap] * num <= size[at] * den]
-            pairs.append(np.stack([cls[at], cls[at + gap], size[at], size[at + gap]], 1))
-        if pairs:
-            pairs, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)), pa.array(n)], ["a", "b", "na", "nb", "shared"])
-        left, right, weight = map(np.concatenate, (left, right, weight))
-        zero = pa.array(np.zeros(len(left), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), zero, zero, pa.array(weight)], ["a", "b", "na", "nb", "shared"])
+        left, right = [cls[chained - 1]], [cls[chained]]
+        edges = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(np.zeros(len(edges), np.int64)), pa.array([e.tobytes() for e in edges[:, 0]], pa.binary()), pa.nulls(len(edges), pa.binary())], ["cls", "n", "others", "sizes"])
+        short = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
+        begin = np.repeat(starts, length)[short]
+        size = size.astype(np.int64)
+        for lo in range(0, len(short), 1 << 16):
+            rows = []
+            for at, first in zip(short[lo : lo + (1 << 16)].tolist(), begin[lo : lo + (1 << 16)].tolist(), strict=True):
+                first += int(np.searchsorted(size[first:at], -(-size[at] * num // den)))
+                if first < at:
+                    rows.append((cls[at], size[at], cls[first:at].tobytes(), size[first:at].tobytes()))
+            if rows:
+                c, n, others, sizes = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c)), pa.array(np.array(n)), pa.array(others, pa.binary()), pa.array(sizes, pa.binary())], ["cls", "n", "others", "sizes"])
+
+    def enough(batches):
+        """Pairs with at least T' common prefix shingles, and all chained ones."""
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.concat_tables(parts)
+        others = table["others"].to_pylist()
+        times = np.array([len(o) // 8 for o in others])
+        y = np.frombuffer(b"".join(others), np.int64)
+        x, nx = np.repeat(table["cls"].to_numpy(), times), np.repeat(table["n"].to_numpy(), times)
+        ny = np.zeros(len(y), np.int64)
+        ny[nx > 0] = np.frombuffer(b"".join([o for o in table["sizes"].to_pylist() if o]), np.int64)
+        pairs, shared = np.unique(np.stack([x, y, nx, ny], 1), axis=0, return_counts=True)
+        x, y, nx, ny = pairs.T
+        on = (nx == 0) | (shared >= need(nx, ny, num, den) - -(-nx * num // den) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[on])), pa.array(np.ascontiguousarray(y[on]))], ["a", "b"])
 
     postings = docs.mapInArrow(post, "token long, cls long, n int").repartition("token")
-    pairs = postings.mapInArrow(meet, "a long, b long, na long, nb long, shared long").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
-    t = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(num + den)) - F.ceil(num * F.col("nb") / F.lit(den))
-    near = pairs.where(F.col("shared") >= t).select("a", "b")  # one less than T', as the division is of doubles
+    near = postings.mapInArrow(meet, "cls long, n long, others binary, sizes binary").repartition("cls").mapInArrow(enough, "a long, b long")
 
     def rep_sets(batch: pa.RecordBatch):
         for ids, sets in _sets(batch, words):
