@@ -151,6 +151,8 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
     """Links that connect all linked sets of one block. Where ``sides`` holds two values, pairs of one
     side are left out (another task has them)."""
     sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        return [(0, 1)] if probe(*sets) >= need(int(sizes[0]), int(sizes[1]), num, den) else []
     order = np.argsort(sizes, kind="stable")
     tokens = np.concatenate([sets[i] for i in order])
     rank = np.repeat(np.arange(len(order)), sizes[order])
@@ -323,14 +325,17 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
     dealt = dealt.select("cls", "rep", "block", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
     tasks = held.dropDuplicates(["rep", "cls"]).join(dealt, ["rep", "cls"])
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cls").sort_values("cls")
-        keys = pdf["cls"].to_numpy()
-        found = search([np.frombuffer(b, textops.U) for b in pdf["shingles"]], pdf["sub"].to_numpy(), num, den) if len(keys) > 1 else []
-        at = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": keys[at[:, 0]], "b": keys[at[:, 1]]}, dtype="int64")
-
-    return tasks.select("block", "i", "j", "cls", "sub", "shingles").groupBy("block", "i", "j").applyInPandas(local, "a long, b long")
+    def local(batches):
+        for group in textops.groups(batches, ["block", "i", "j"]):
+            cls, at = np.unique(group["cls"].to_numpy(), return_index=True)
+            raw, sub = group["shingles"].to_pylist(), group["sub"].to_numpy()
+            found = search([np.frombuffer(raw[k], textops.U) for k in at], sub[at], num, den) if len(cls) > 1 else []
+            if found:
+                pairs = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, 0]]), pa.array(cls[pairs[:, 1]])], ["a", "b"])
+
+    ordered = tasks.select("block", "i", "j", "cls", "sub", "shingles").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return ordered.mapInArrow(local, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

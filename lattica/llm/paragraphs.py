@@ -20,7 +20,6 @@ are. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,25 +212,29 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = slim.mapInArrow(run, "cls long, doc_id long, txt long, start long, end long, w0 long, w1 long, whole_line boolean").dropDuplicates(["doc_id", "txt", "start", "end"])
     placed = found.join(classes, "cls")
 
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def runs(batches):
         """Drop what repeats inside a line that counts whole, and parts that do not add up to a passage."""
-        pdf = pdf.sort_values(["whole_line", "w0"], ascending=[False, True])
-        lines, parts = pdf[pdf["whole_line"]], pdf[~pdf["whole_line"]]
-        if len(parts):
-            a, b = parts["w0"].to_numpy(), parts["w1"].to_numpy()
-            if len(lines):
-                at = np.searchsorted(lines["w0"].to_numpy(), a, "right") - 1
-                outside = (at < 0) | (lines["w1"].to_numpy()[at] < b)
-                parts, a, b = parts[outside], a[outside], b[outside]
-            if len(a):
-                group = np.concatenate([[0], np.cumsum(a[1:] - b[:-1] > GAP)])
-                parts = parts[np.bincount(group, b - a)[group] >= RUN]
-        out = pd.concat([lines, parts])
-        return out.assign(n_words=out["w1"] - out["w0"])[["doc_id", "txt", "start", "end", "n_words", "whole_line", "first_doc_id", "removed"]]
+        for table in textops.whole(batches, ["doc_id", "txt"]):
+            text = np.cumsum(textops.changes(table, ["doc_id", "txt"])).astype(np.int64)
+            a, b, line = table["w0"].to_numpy(), table["w1"].to_numpy(), table["whole_line"].to_numpy()
+            lines = np.flatnonzero(line)
+            parts = np.flatnonzero(~line)
+            if len(lines) and len(parts):
+                at = np.searchsorted(text[lines] << 32 | a[lines], text[parts] << 32 | a[parts], "right") - 1
+                own = lines[np.maximum(at, 0)]
+                parts = parts[(at < 0) | (text[own] != text[parts]) | (b[own] < b[parts])]
+            if len(parts):
+                apart = (text[parts[1:]] != text[parts[:-1]]) | (a[parts[1:]] - b[parts[:-1]] > GAP)
+                run = np.concatenate([[0], np.cumsum(apart)])
+                parts = parts[np.bincount(run, (b - a)[parts])[run] >= RUN]
+            kept = table.take(pa.array(np.sort(np.concatenate([lines, parts]))))
+            kept = kept.append_column("n_words", pa.array(kept["w1"].to_numpy() - kept["w0"].to_numpy()))
+            yield from kept.select(["doc_id", "txt", "start", "end", "n_words", "whole_line", "first_doc_id", "removed"]).to_batches()
 
     own = F.struct(F.col("doc_id").alias("doc"), F.col("txt"), F.col("start").alias("place"))
     spans = placed.select("doc_id", "txt", "start", "end", "w0", "w1", "whole_line", F.col("first.doc").alias("first_doc_id"), (own != F.col("first")).alias("removed"))
-    return spans.groupBy("doc_id", "txt").applyInPandas(runs, "doc_id long, txt long, start long, end long, n_words long, whole_line boolean, first_doc_id long, removed boolean")
+    ordered = spans.repartition("doc_id", "txt").sortWithinPartitions("doc_id", "txt", "w0", F.desc("w1"))
+    return ordered.mapInArrow(runs, "doc_id long, txt long, start long, end long, n_words long, whole_line boolean, first_doc_id long, removed boolean")
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -131,3 +131,42 @@ def chunks(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def groups(batches, keys: list[str]):
+    """The groups of rows with equal keys of a sorted stream of batches, one table each; memory follows
+    the largest group."""
+    for table in whole(batches, keys):
+        cut = np.flatnonzero(changes(table, keys))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), table.num_rows], strict=True):
+            yield table.slice(a, b - a)
+
+
+def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; the first row counts."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        column = table[key].to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return new
+
+
+def whole(batches, keys: list[str]):
+    """A sorted stream as tables that end where a group ends."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        cut = np.flatnonzero(changes(table, keys))
+        if held and any(held[-1][k][-1].as_py() != table[k][0].as_py() for k in keys):
+            yield pa.concat_tables(held)
+            held = []
+        last = int(cut[-1])
+        if last:
+            yield pa.concat_tables([*held, table.slice(0, last)])
+            held = []
+        held.append(table.slice(last))
+    if held:
+        yield pa.concat_tables(held)
