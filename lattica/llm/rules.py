@@ -237,7 +237,8 @@ def base_failed(name: str = "_q"):
 
 
 def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, least: int = LEAST) -> DataFrame:
-    """(lang, low, high) of the log perplexity, a row for each language of ``measured`` (lang, _q)."""
+    """(band_lang, low, high) of the log perplexity, a row for each language of ``measured`` (lang, _q),
+    which is read twice: pass a checkpoint."""
     passed = measured.where(~base_failed()).select(F.col(lang_col).cast("string").alias("lang"), F.col("_q.log_perplexity").alias("p"))
 
     def middle(df, *by):
@@ -245,10 +246,10 @@ def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, lea
         spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / F.lit(1.349), F.lit(FLOOR / 4))
         return q.select(*by, "n", (F.col("q")[1] - width * spread).alias("low"), (F.col("q")[1] + width * spread).alias("high"))
 
-    rows = middle(passed, "lang")
-    every = middle(passed).select(F.col("low").alias("all_low"), F.col("high").alias("all_high"))
+    every = middle(passed).first()
     few = F.col("n") < least
-    return rows.join(F.broadcast(every)).select(F.col("lang").alias("band_lang"), F.when(few, F.col("all_low")).otherwise(F.col("low")).alias("low"), F.when(few, F.col("all_high")).otherwise(F.col("high")).alias("high"))
+    limit = lambda name: F.when(few, F.lit(every[name])).otherwise(F.col(name)).alias(name)
+    return middle(passed, "lang").select(F.col("lang").alias("band_lang"), limit("low"), limit("high"))
 
 
 def kept(measured: DataFrame, table: DataFrame, lang_col: str = "lang", name: str = "_q") -> tuple[DataFrame, str]:
