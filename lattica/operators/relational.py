@@ -129,9 +129,9 @@ def bounding_box(flags: DataFrame, dim: int = 2) -> DataFrame:
 
 def grain_profile(cells: DataFrame, grains: DataFrame) -> DataFrame:
     """phi at each cell: the greatest of -tanh((distance - radius) / sqrt 2), floored at -1; and the nearest
-    grain's orientation (the first of equals)."""
+    grain's orientation (the first of equals). Every cell meets every grain: grains are a stated, small table."""
     far = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
-    pairs = cells.join(F.broadcast(grains))
+    pairs = cells.crossJoin(grains)
     keys = [c for c in cells.columns]
     near = F.struct(((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))).alias("d"), F.col("grain_id"))
     return pairs.groupBy(*keys).agg(F.greatest(F.lit(-1.0), F.max(-F.tanh((far - F.col("radius")) / F.lit(math.sqrt(2))))).alias("phi"), F.min_by("orientation", near).alias("theta0"), F.min_by("grain_id", near).alias("grain"))
