@@ -29,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     null id stays."""
     prepared(spark)
     groups = jaccard.ngram_join(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.without(docs, groups.where("component_id <> doc_id").select("doc_id").distinct().checkpoint())
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

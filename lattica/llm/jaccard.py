@@ -33,9 +33,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lattica.llm import textops
 from lattica.llm.graph import Forest, components
+from lattica.llm.session import unused
 
 CELLS, RANGES, SHORT, SUB, SUB_SIZE = 1 << 22, 64, 64, 256, 1 << 20
 
@@ -203,6 +205,28 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
     return links
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids of ``gone`` (one long column, a checkpoint); a null id stays.
+
+    A bitmap of fixed size lets most rows pass beside the join, so that few texts are shuffled.
+    """
+    (name,) = gone.columns
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(gone, lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], CELLS, lambda c: c > 0))
+    maybe, key = unused(docs, "_maybe"), unused(docs, "_gone")
+
+    def mark(batches):
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            on = known & has(marks.value, textops.mix(ids.view(textops.U)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(on)], [*batch.schema.names, maybe])
+
+    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField(maybe, BooleanType())]))
+    tested = marked.where(F.col(maybe)).join(gone.select(F.col(name).alias(key)), F.col(id_col).cast("long") == F.col(key), "left_anti")
+    return marked.where(~F.col(maybe)).select(*docs.columns).union(tested.select(*docs.columns))
+
+
 def classes(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, cls): set size and set id of each text."""
 

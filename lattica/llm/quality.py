@@ -24,7 +24,7 @@ from lattica.llm.labelled import held_out, sample
 
 ROWS, LONGEST, CHUNKS = 1500, 60_000, 64
 WIDTH, STEP, HALF, FILTERS, HIDDEN = 8, 4, 32, 16, 12
-EPOCHS, BATCH, RATE, DECAY = 10, 48, 4e-3, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 10, 400, 48, 4e-3, 1e-4
 PAD = 256
 
 
@@ -157,7 +157,9 @@ def train(texts: list[str], y: list[int], share: float, seed: int = 7, epochs: i
     raws = [np.frombuffer(_pieces(t), np.uint8) for t in texts]
     even = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y == 0).mean())
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.params().items()}
-    n_step, total = 0, epochs * -(-len(raws) // BATCH)
+    a_round = -(-len(raws) // BATCH)
+    epochs = max(epochs, -(-STEPS // a_round))  # few texts are seen more often
+    n_step, total = 0, epochs * a_round
     for _ in range(epochs):
         order = rng.permutation(len(raws))
         for lo in range(0, len(order), BATCH):
