@@ -86,7 +86,7 @@ class WordBpe:
         self.pieces = regex.compile(split).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.piece_ids, self.piece_counts = Table(self._piece_ids), Table(self._piece_count)
-        self.word_ids, self.word_counts, self.word_both = Table(self._word_ids), Table(self._word_count), Table(self._word_both)
+        self.word_ids, self.word_counts, self.word_both = Table(self._word_ids), Table(self._word_count), Table(self._word_both, TABLE // 2)
 
     def merged(self, raw: bytes) -> tuple[list[int], list[int], int]:
         """Symbols by place, the next place of each (the last: the length), and the number of merges.
@@ -180,8 +180,17 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        return self.joined(self.parts(text))
+
+    def joined(self, parts) -> bytes:
         get = self.word_ids.__getitem__
-        return b"".join([np.uint32(i).astype("<u4").tobytes() if i is not None else b"".join(map(get, words)) for i, words in self.parts(text)])
+        return b"".join([np.uint32(i).astype("<u4").tobytes() if i is not None else b"".join(map(get, words)) for i, words in parts])
+
+    def encode_together(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text, with the new words of all of them learned first."""
+        parts = [list(self.parts(text)) for text in texts]
+        self.learn(parts)
+        return [self.joined(p) for p in parts]
 
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """The ids and the decoded text: the vocabulary strings of all ids, a space between each two."""
@@ -200,12 +209,12 @@ class WordBpe:
     def decode(self, ids) -> str:
         return b" ".join([self.strings[int(i)] for i in ids]).decode()
 
-    def learn(self, texts: list[str]) -> None:
-        """Fill the tables of ids for all new words of the texts, merging all new pieces of one length
+    def learn(self, texts: list[list]) -> None:
+        """Fill the tables of ids for all new words of the texts' parts, merging all new pieces of one length
         together: in each round every piece that has one merges its leftmost lowest pair."""
         words: set[str] = set()
-        for text in texts:
-            for _, part in self.parts(text):
+        for parts in texts:
+            for _, part in parts:
                 words.update(part)
         words.difference_update(self.word_ids)
         if len(self.word_ids) + len(words) > self.word_ids.most:

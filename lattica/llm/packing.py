@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe
+from lattica.llm import bpe, textops
 
 POOL = 48
 
@@ -75,6 +75,13 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def encoded(encoder, batch):
+    """(id, ids) of each row, a few megabytes of text at a time."""
+    for part in textops.chunks(batch, "text", 2 << 20):
+        ids = encoder.encode_together([x or "" for x in part.column(1).to_pylist()])
+        yield from zip(part.column(0).to_pylist(), ids, strict=True)
+
+
 def pack(docs: DataFrame, capacity: int = 2048, closing: int = 1, vocab: str | None = None, keep: bool = False, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all texts into sequences of at most ``capacity`` tokens.
 
@@ -114,10 +121,8 @@ def pack(docs: DataFrame, capacity: int = 2048, closing: int = 1, vocab: str | N
             return pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            encoder.learn(texts)
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = encoder.encode(text) + end
+            for doc, ids in encoded(encoder, batch):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
