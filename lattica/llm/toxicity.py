@@ -12,7 +12,7 @@ probability.
 Training runs on the driver over a bounded sample: at most ``ROWS`` labelled texts of each class.
 Landmarks (at most ``LANDMARKS``) are letter sequences that set toxic texts apart. A toxic label does
 not say which sentence is toxic, so the machine is refitted with the strongest sentence of each toxic
-text as its witness; copies of the witnesses' units with inserted characters are trained on as well.
+text as its witness; the landmarks alone and with a character inserted are trained on as well.
 
 Scoring covers whole texts, one pass, no shuffle. Null and empty texts have no sentence and get the
 probability of an empty one. Without labels of both classes the score is the smoothed share of label
@@ -34,7 +34,7 @@ from lattica.llm.labelled import held_out, sample
 
 ROWS, LONGEST, LANDMARKS = 1500, 60_000, 48
 P, LAMBDA, SPAN, LETTERS = 4, 0.7, 24, 1.0
-LEAST, MOST = 4, 10
+LEAST, MOST, PURE = 4, 10, 25
 _END = np.isin(np.arange(256), list(b".!?\n"))
 _WORD = np.arange(256) >= 128
 _WORD[97:123] = True
@@ -215,7 +215,7 @@ def find_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) ->
         for x in {w[a:b] for a in range(max(len(w) - LEAST + 1, 0)) for b in range(a + LEAST, min(len(w), a + MOST) + 1)} & words_of.keys():
             clean_texts[x] += n
     weight = {w: seen_toxic[w] for w in odd}
-    pool = [x for x, words in words_of.items() if sum(weight[w] for w in words) * share > 8 * (clean_texts[x] + 0.5)]
+    pool = [x for x, words in words_of.items() if sum(weight[w] for w in words) * share > PURE * (clean_texts[x] + 0.5)]
     chosen: list[bytes] = []
     floor = max(least, len(toxic) // 200)
     while pool and len(chosen) < most:
@@ -249,23 +249,21 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 4
     return w, b
 
 
-def _variants(word: bytes, rng) -> list[bytes]:
-    """A word with one character inserted, with stars between all letters, and with gaps."""
-    at = int(rng.integers(1, max(len(word), 2)))
-    return [word[:at] + bytes([int(rng.choice(list(b"*-._x")))]) + word[at:], b"-".join(word[i : i + 1] for i in range(len(word)))]
+def _variants(word: bytes) -> list[bytes]:
+    """A word alone, and with a character inserted at each place inside it."""
+    return [word] + [word[:at] + b"-" + word[at:] for at in range(1, len(word))]
 
 
-def train(texts: list[str], y: list[int], share: float, seed: int = 5) -> Machine:
+def train(texts: list[str], y: list[int], share: float) -> Machine:
     share = min(max(share, 0.01), 0.99)
     toxic, clean = [t or "" for t, k in zip(texts, y, strict=True) if k], [t or "" for t, k in zip(texts, y, strict=True) if not k]
     machine = Machine(find_landmarks(toxic, clean) if toxic and clean else [])
     machine.level = float(np.log(share / (1 - share)))
     if not len(machine.own):
         return machine
-    rng = np.random.default_rng(seed)
     pos, pos_text, _ = pooled(machine, *_stacked(toxic))
     neg, _, _ = pooled(machine, *_stacked(clean))
-    gapped = [v for mark, n in zip(machine.landmarks, machine.lengths, strict=True) for v in _variants(mark[:n].tobytes(), rng)]
+    gapped = [v for mark, n in zip(machine.landmarks, machine.lengths, strict=True) for v in _variants(mark[:n].tobytes())]
     extra = machine.responses(padded(gapped, SPAN), np.array([min(len(v), SPAN) for v in gapped]))
     negatives = np.concatenate([neg, np.zeros((max(1, len(neg) // 20), len(machine.own)), np.float32)]) @ machine.nystrom
     strength = pos.max(1)
@@ -276,7 +274,7 @@ def train(texts: list[str], y: list[int], share: float, seed: int = 5) -> Machin
         x = np.concatenate([pos[witness] @ machine.nystrom, extra @ machine.nystrom, negatives])
         n_pos, n_extra = int(witness.sum()), len(extra)
         target = np.concatenate([np.ones(n_pos + n_extra), -np.ones(len(negatives))])
-        weight = np.concatenate([np.full(n_pos, 0.3 / max(n_pos, 1)), np.full(n_extra, 0.2 / n_extra), np.full(len(negatives), 0.5 / len(negatives))])
+        weight = np.concatenate([np.full(n_pos, 0.2 / max(n_pos, 1)), np.full(n_extra, 0.3 / n_extra), np.full(len(negatives), 0.5 / len(negatives))])
         machine.weights, machine.bias = _fit_linear(x, target, weight)
         strength = machine.decide(pos)
     decision = np.concatenate([strongest(machine, *_stacked(toxic)), strongest(machine, *_stacked(clean))])
