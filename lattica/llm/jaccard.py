@@ -39,7 +39,7 @@ from lattica.llm import textops
 from lattica.llm.graph import Forest, components
 from lattica.llm.session import unused
 
-CELLS, RANGES, SHORT, SUB, SUB_SIZE = 1 << 22, 64, 64, 256, 1 << 20
+CELLS, RANGES, SHORT, SUB, SUB_SIZE, SALTS = 1 << 22, 64, 64, 256, 1 << 20, 16
 
 
 def need(nx, ny, num: int, den: int):
@@ -345,7 +345,10 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
     held = docs.mapInArrow(fetch, "rep long, cls long, shingles binary")
     room = placed.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("block", F.greatest(F.ceil(F.col("c") / SUB), F.ceil(F.col("s") / SUB_SIZE)).cast("int").alias("m"))
     sub = F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")
-    dealt = placed.join(room, "block").withColumn("sub", sub).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    # a block may hold a large share of the rows: its one row in ``room`` is copied for each salt
+    salted = room.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(SALTS)).cast("int")
+    dealt = placed.withColumn("salt", salt).join(salted, ["block", "salt"]).withColumn("sub", sub).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.select("cls", "rep", "block", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
     tasks = held.dropDuplicates(["rep", "cls"]).join(dealt, ["rep", "cls"])
 
