@@ -53,8 +53,6 @@ class Units:
         new_part = new_line.copy()
         new_part[1:] |= _STOP[data[self.ends[:-1] - 1]]
         self.line, self.part = self._ranges(new_line, LINE), self._ranges(new_part, SENTENCE)
-        whole = np.isin(self.part[0] * (n + 1) + self.part[1], self.line[0] * (n + 1) + self.line[1])
-        self.part = self.part[:, ~whole]  # a line of one sentence is that line
 
     @staticmethod
     def _ranges(new: np.ndarray, least: int) -> np.ndarray:
@@ -209,7 +207,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     cols = [keys, ids[row], texts[row], units.starts[a] - units.offs[row], units.ends[b - 1] - units.offs[row], a - first_word, b - first_word]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(a), is_line))], ["cls", "doc_id", "txt", "start", "end", "w0", "w1", "whole_line"])
 
-    found = slim.mapInArrow(run, "cls long, doc_id long, txt long, start long, end long, w0 long, w1 long, whole_line boolean").dropDuplicates(["doc_id", "txt", "start", "end"])
+    found = slim.mapInArrow(run, "cls long, doc_id long, txt long, start long, end long, w0 long, w1 long, whole_line boolean").dropDuplicates(["doc_id", "txt", "start", "end", "whole_line"])
     placed = found.join(classes, "cls")
 
     def runs(batches):
@@ -233,7 +231,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = F.struct(F.col("doc_id").alias("doc"), F.col("txt"), F.col("start").alias("place"))
     spans = placed.select("doc_id", "txt", "start", "end", "w0", "w1", "whole_line", F.col("first.doc").alias("first_doc_id"), (own != F.col("first")).alias("removed"))
-    ordered = spans.repartition("doc_id", "txt").sortWithinPartitions("doc_id", "txt", "w0", F.desc("w1"))
+    ordered = spans.repartition("doc_id", "txt").sortWithinPartitions("doc_id", "txt", "w0", F.desc("w1"), F.desc("whole_line"))
     return ordered.mapInArrow(runs, "doc_id long, txt long, start long, end long, n_words long, whole_line boolean, first_doc_id long, removed boolean")
 
 

@@ -173,3 +173,17 @@ def test_near_copies_of_a_paragraph(spark):
     rows = [(1, " ".join(words)), (2, "Other line here.\n" + " ".join(near)), (3, prose(rng, 70, 99))]
     spans = paragraphs.substring_dedup(prepared(spark).createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(s.doc_id, s.first_doc_id, s.removed) for s in spans] == [(1, 1, False), (2, 1, True)]
+
+
+def _cut(spark, rows):
+    """Words that are removed from each text, and the spans."""
+    spans = paragraphs.duplicate_spans(prepared(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    return {i: sum(s.n_words for s in spans if s.doc_id == i and s.removed) for i, _ in rows}, spans
+
+
+def test_one_sentence_as_a_line_and_inside_a_line(spark):
+    rng = random.Random(12)
+    sentence = prose(rng, 55, 99) + "."
+    rows = [(1, prose(rng, 30, 99) + ".\n" + sentence + "\n" + prose(rng, 30, 99) + "."), (2, prose(rng, 30, 99) + ". " + sentence + " " + prose(rng, 30, 99) + "."), (3, prose(rng, 60, 99))]
+    cut, _ = _cut(spark, rows)
+    assert cut[1] == cut[3] == 0 and cut[2] >= 50
