@@ -10,7 +10,8 @@ space) of at least ``SENTENCE`` words, so a passage set into a longer line is fo
 3. Lines are clustered by components of verified links. In each cluster the first occurrence, by
    (doc_id, text, place), stays and all others go. Equal parts go likewise, where the repeated parts of a text
    that lie together (gaps of at most ``GAP`` words) have at least ``RUN`` words in all; so short sentences
-   that two texts happen to share stay.
+   that two texts happen to share stay. Parts inside a line that goes count with it; inside a line that
+   stays, as the first of its cluster, those go that stand earlier elsewhere.
 
 Words are taken in lower case (A-Z). Null and empty texts have no paragraphs. A row is known by its id
 and a hash of its text: rows equal in both are cut alike. Null ids take no part and are left as they
@@ -211,21 +212,25 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = found.join(classes, "cls")
 
     def runs(batches):
-        """Drop what repeats inside a line that counts whole, and parts that do not add up to a passage."""
+        """Drop parts inside a removed line, first parts inside any repeated line, and parts that do not add
+        up to a passage."""
         for table in textops.whole(batches, ["doc_id", "txt"]):
             text = np.cumsum(textops.changes(table, ["doc_id", "txt"])).astype(np.int64)
-            a, b, line = table["w0"].to_numpy(), table["w1"].to_numpy(), table["whole_line"].to_numpy()
+            a, b, line, gone = (table[name].to_numpy() for name in ("w0", "w1", "whole_line", "removed"))
             lines = np.flatnonzero(line)
             parts = np.flatnonzero(~line)
             if len(lines) and len(parts):
                 at = np.searchsorted(text[lines] << 32 | a[lines], text[parts] << 32 | a[parts], "right") - 1
                 own = lines[np.maximum(at, 0)]
-                parts = parts[(at < 0) | (text[own] != text[parts]) | (b[own] < b[parts])]
-            if len(parts):
-                apart = (text[parts[1:]] != text[parts[:-1]]) | (a[parts[1:]] - b[parts[:-1]] > GAP)
-                run = np.concatenate([[0], np.cumsum(apart)])
-                parts = parts[np.bincount(run, (b - a)[parts])[run] >= RUN]
-            kept = table.take(pa.array(np.sort(np.concatenate([lines, parts]))))
+                outside = (at < 0) | (text[own] != text[parts]) | (b[own] < b[parts])
+                parts = parts[outside | (gone[parts] & ~gone[own])]
+            found = [lines]
+            for some in (parts[gone[parts]], parts[~gone[parts]]):
+                if len(some):
+                    apart = (text[some[1:]] != text[some[:-1]]) | (a[some[1:]] - b[some[:-1]] > GAP)
+                    run = np.concatenate([[0], np.cumsum(apart)])
+                    found.append(some[np.bincount(run, (b - a)[some])[run] >= RUN])
+            kept = table.take(pa.array(np.sort(np.concatenate(found))))
             kept = kept.append_column("n_words", pa.array(kept["w1"].to_numpy() - kept["w0"].to_numpy()))
             yield from kept.select(["doc_id", "txt", "start", "end", "n_words", "whole_line", "first_doc_id", "removed"]).to_batches()
 

@@ -187,3 +187,13 @@ def test_one_sentence_as_a_line_and_inside_a_line(spark):
     rows = [(1, prose(rng, 30, 99) + ".\n" + sentence + "\n" + prose(rng, 30, 99) + "."), (2, prose(rng, 30, 99) + ". " + sentence + " " + prose(rng, 30, 99) + "."), (3, prose(rng, 60, 99))]
     cut, _ = _cut(spark, rows)
     assert cut[1] == cut[3] == 0 and cut[2] >= 50
+
+
+def test_passage_inside_a_line_that_stays(spark):
+    rng = random.Random(13)
+    passage = ". ".join(prose(rng, 12, 99) for _ in range(5)) + "."
+    line = prose(rng, 40, 7) + ". " + passage + " " + prose(rng, 40, 7) + "."
+    rows = [(1, prose(rng, 40, 7) + ". " + passage + " " + prose(rng, 40, 7) + "."), (2, line), (3, line), (4, prose(rng, 90, 7))]
+    cut, spans = _cut(spark, rows)
+    assert cut[1] == cut[4] == 0 and 55 <= cut[2] <= 66 and cut[3] == len(line.split())
+    assert {s.first_doc_id for s in spans if s.doc_id == 2 and s.removed} == {1}
