@@ -1,7 +1,11 @@
 """Substring dedup by paragraph MinHash banding (operator 4).
 
-Paragraphs are lines of at least ``LINE`` words; their parts are sentences (up to . ! ? before white
-space) of at least ``SENTENCE`` words, so a passage set into a longer line is found by its sentences.
+Paragraphs are lines of at least ``LINE`` words. Whole texts, lines or not, are also cut into parts at words
+that the content picks: a word whose three-word hash is the smallest among ``RADIUS`` words on each side, where
+starts of sentences (after . ! ? before white space) come before all others. Equal runs of words are cut
+alike but near their ends, so a passage is found whatever stands around it, with or without sentences or
+the same line breaks, and an edit costs the parts around it. Inside a sentence up to some 7 words at each end of a
+passage are not told apart from what surrounds it and stay.
 
 1. Every task sums equal paragraphs and parts before anything is shuffled: count and first place.
 2. Distinct lines get ``BANDS`` keys of ``ROWS`` MinHash values over their sets of five-word shingles. At
@@ -9,7 +13,7 @@ space) of at least ``SENTENCE`` words, so a passage set into a longer line is fo
    blocks; inside a block links are verified by exact Jaccard similarity.
 3. Lines are clustered by components of verified links. In each cluster the first occurrence, by
    (doc_id, text, place), stays and all others go. Equal parts go likewise, where the repeated parts of a text
-   that lie together (gaps of at most ``GAP`` words) have at least ``RUN`` words in all; so short sentences
+   that lie together (gaps of at most ``GAP`` words) have at least ``RUN`` words in all; so short parts
    that two texts happen to share stay. Parts inside a line that goes count with it; inside a line that
    stays, as the first of its cluster, those go that stand earlier elsewhere.
 
@@ -30,7 +34,7 @@ from lattica.llm import jaccard, textops
 from lattica.llm.graph import components
 from lattica.llm.session import unused
 
-LINE, SENTENCE, GAP, RUN = 20, 6, 12, 25
+LINE, RADIUS, GAP, RUN = 20, 3, 12, 25
 BANDS, ROWS, WORDS = 16, 4, 5
 NUM, DEN = 80, 100
 _STOP = np.isin(np.arange(256), list(b".!?"))
@@ -38,7 +42,7 @@ _MULTIPLIERS = textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=textops.U) * tex
 
 
 class Units:
-    """Lines and sentences of the texts of a batch, as ranges of words."""
+    """Lines and parts of the texts of a batch, as ranges of words."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         self.starts, self.ends, self.text = textops.spans(data, offs)
@@ -51,9 +55,27 @@ class Units:
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
         new_line = np.ones(n, bool)
         new_line[1:] = (breaks[self.starts[1:]] != breaks[self.ends[:-1]]) | (self.text[1:] != self.text[:-1])
-        new_part = new_line.copy()
-        new_part[1:] |= _STOP[data[self.ends[:-1] - 1]]
-        self.line, self.part = self._ranges(new_line, LINE), self._ranges(new_part, SENTENCE)
+        new_sentence = np.ones(n, bool)
+        new_sentence[1:] = _STOP[data[self.ends[:-1] - 1]]
+        self.line, self.part = self._ranges(new_line, LINE), self._ranges(self._cuts(new_sentence), RADIUS + 1)
+
+    def _cuts(self, preferred: np.ndarray) -> np.ndarray:
+        """Where a part starts: at each text's first word, and at least ``RADIUS`` + 1 words apart."""
+        n = len(self.words)
+        value = textops.mix(self.words)
+        for k in (1, 2):  # words of the next text do not count
+            value[: n - k] += np.where(self.text[k:] == self.text[: n - k], self.words[k:], textops.U(0)) * textops.U(2 * k + 3)
+            value = textops.mix(value)
+        value = (value >> textops.U(1)) | ((~preferred).astype(textops.U) << textops.U(63))
+        first = np.ones(n, bool)
+        first[1:] = self.text[1:] != self.text[:-1]
+        value[first] = 0
+        cut = np.ones(n, bool)
+        for d in range(1, RADIUS + 1):
+            same = self.text[d:] == self.text[: n - d]
+            cut[d:] &= ~same | (value[d:] < value[: n - d])
+            cut[: n - d] &= ~same | (value[: n - d] <= value[d:])
+        return cut
 
     @staticmethod
     def _ranges(new: np.ndarray, least: int) -> np.ndarray:
@@ -117,7 +139,7 @@ def text_keys(part: pa.RecordBatch) -> np.ndarray:
 
 
 def distinct_units(docs: DataFrame) -> DataFrame:
-    """(cls, line, count, first, n, bands): a row per distinct line and sentence."""
+    """(cls, line, count, first, n, bands): a row per distinct line and part."""
 
     def run(batches):
         for part, units in _batches(batches):
@@ -176,7 +198,7 @@ def _line_sets(batch: pa.RecordBatch):
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(cls, first): lines and sentences that are found again, and the place of the first of them."""
+    """(cls, first): lines and parts that are found again, and the place of the first of them."""
     units = distinct_units(docs).where("line or count > 1").checkpoint()
     lines = units.where("line")
     known = lines.select("cls", F.col("n"), F.col("first.doc").alias("rep"))

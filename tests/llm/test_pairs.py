@@ -197,3 +197,28 @@ def test_passage_inside_a_line_that_stays(spark):
     cut, spans = _cut(spark, rows)
     assert cut[1] == cut[4] == 0 and 55 <= cut[2] <= 66 and cut[3] == len(line.split())
     assert {s.first_doc_id for s in spans if s.doc_id == 2 and s.removed} == {1}
+
+
+def test_runs_of_words_without_sentences(spark):
+    rng = random.Random(14)
+    run = prose(rng, 60, 99).split(" ")
+    long = prose(rng, 101, 99).split(" ")
+    edited = [*long[:50], "changed", *long[51:]]
+    lone = [prose(rng, 60, 99) for _ in range(8)]
+    rows = [(1, f"{lone[0]} {' '.join(run)} {lone[1]}"), (2, f"{lone[2]} {' '.join(run)} {lone[3]}"), (6, f"{lone[4]} {' '.join(long)} {lone[5]}"), (7, f"{lone[5][::-1]} {' '.join(edited)} {lone[4][::-1]}")]
+    rows += [(4, "\n".join(" ".join(run[k : k + 12]) for k in range(0, 60, 12)) + "\n" + lone[6]), (5, lone[7])]
+    cut, _ = _cut(spark, rows)
+    assert cut[1] == cut[5] == 0 and 36 <= cut[2] <= 60 and 25 <= cut[4] <= 60 and cut[6] == 0 and 60 <= cut[7] <= 100
+
+
+def test_parts_do_not_follow_the_batch():
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    texts = [prose(rng, n, 7) for n in (1, 3, 200, 5, 90)] + ["same " * 50, "a. b. c. d. e. f. g. h. i. j."]
+    both = paragraphs.Units(*textops.packed(pa.array(texts)))
+    sizes = both.part[1] - both.part[0]
+    assert sizes.min() > paragraphs.RADIUS and (both.text[both.part[0]] == both.text[both.part[1] - 1]).all()
+    together = sorted(both.keys(both.part, 0).tolist())
+    alone = [paragraphs.Units(*textops.packed(pa.array([t]))) for t in texts]
+    assert together == sorted(k for u in alone for k in u.keys(u.part, 0).tolist())
