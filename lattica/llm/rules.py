@@ -11,8 +11,10 @@ Kneser-Ney model of letters inside words: order 4 over 64 letter classes, word b
   order, interpolated with a uniform distribution. Each order is a sorted array of packed n-grams
   with log probabilities, and one of contexts with log weights; lookups are binary searches.
 * Bands: the log perplexity of each text that passes the base rules, per language, over all texts;
-  median plus and minus ``width`` times the robust spread. A text outside is rejected. Languages
-  (null is one) with fewer than ``least`` such texts use the bands of all languages together.
+  median plus and minus ``width`` times the robust spread. A text outside is rejected. One law at every
+  size: the median and spread of a language (null is one) of n such texts are means of its own, with
+  weight n, and those of all languages together, with weight ``prior``; the band is wider by
+  sqrt(1 + 1/n).
 
 Null and empty texts have no words and fail the base rules. Repeated rows get the same verdict.
 An empty table gives an empty result.
@@ -30,7 +32,7 @@ from lattica.llm import textops
 from lattica.llm.session import unused
 
 ORDER, CLASSES = 4, 64
-WIDTH, LEAST, FLOOR = 8.0, 200, 0.05
+WIDTH, PRIOR, FLOOR = 8.0, 20, 0.05
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = b"#*$%&|<>"
 
@@ -236,7 +238,7 @@ def base_failed(name: str = "_q"):
     return (q.n_words < 50) | (100 * q.n_repeat_words > 50 * q.n_words)
 
 
-def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, least: int = LEAST) -> DataFrame:
+def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, prior: float = PRIOR) -> DataFrame:
     """(band_lang, low, high) of the log perplexity, a row for each language of ``measured`` (lang, _q),
     which is read twice: pass a checkpoint."""
     passed = measured.where(~base_failed()).select(F.col(lang_col).cast("string").alias("lang"), F.col("_q.log_perplexity").alias("p"))
@@ -244,12 +246,13 @@ def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, lea
     def middle(df, *by):
         q = df.groupBy(*by).agg(F.percentile_approx("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"), F.count("*").alias("n"))
         spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / F.lit(1.349), F.lit(FLOOR / 4))
-        return q.select(*by, "n", (F.col("q")[1] - width * spread).alias("low"), (F.col("q")[1] + width * spread).alias("high"))
+        return q.select(*by, "n", F.col("q")[1].alias("mid"), spread.alias("spread"))
 
     every = middle(passed).first()
-    few = F.col("n") < least
-    limit = lambda name: F.when(few, F.lit(every[name])).otherwise(F.col(name)).alias(name)
-    return middle(passed, "lang").select(F.col("lang").alias("band_lang"), limit("low"), limit("high"))
+    share = F.col("n") / (F.col("n") + F.lit(float(prior)))
+    shrunk = lambda name: share * F.col(name) + (1 - share) * F.lit(every[name])
+    half = width * shrunk("spread") * F.sqrt(1 + 1 / F.col("n"))
+    return middle(passed, "lang").select(F.col("lang").alias("band_lang"), (shrunk("mid") - half).alias("low"), (shrunk("mid") + half).alias("high"))
 
 
 def kept(measured: DataFrame, table: DataFrame, lang_col: str = "lang", name: str = "_q") -> tuple[DataFrame, str]:

@@ -89,6 +89,17 @@ def test_perplexity_bands_reject_noise_and_keep_prose(spark):
     assert sum(kept[i] for i in range(260)) >= 258
 
 
+def test_bands_move_little_with_one_more_text(spark):
+    rows = [("en", 2.0 + 0.001 * (i % 100)) for i in range(2000)] + [("xx", 2.5 + 0.001 * (i % 100)) for i in range(200)]
+
+    def band(rows):
+        measured = prepared(spark).createDataFrame([(lang, (90, 0, p)) for lang, p in rows], "lang string, _q struct<n_words: long, n_repeat_words: long, log_perplexity: double>")
+        return next((r.low, r.high) for r in rules.bands(measured).collect() if r.band_lang == "xx")
+
+    (low, high), (low_less, high_less) = band(rows), band(rows[:-1])
+    assert abs(low - low_less) < 0.02 and abs(high - high_less) < 0.02
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
