@@ -32,7 +32,7 @@ from lattica.llm import textops
 from lattica.llm.session import unused
 
 ORDER, CLASSES = 4, 64
-WIDTH, PRIOR, FLOOR = 8.0, 20, 0.05
+WIDTH, PRIOR, FLOOR = 5.5, 20, 0.05
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = b"#*$%&|<>"
 

@@ -100,6 +100,15 @@ def test_bands_move_little_with_one_more_text(spark):
     assert abs(low - low_less) < 0.02 and abs(high - high_less) < 0.02
 
 
+def test_bands_reject_at_six_and_a_half_spreads(spark):
+    rows = [2.0 + 0.001 * (i % 1000) for i in range(2000)]
+    spread = 0.5 / 1.349
+    rows += [2.4995 + 6.5 * spread, 2.4995 + 5 * spread]
+    measured = prepared(spark).createDataFrame([(i, "en", (90, 0, p)) for i, p in enumerate(rows)], "doc_id long, lang string, _q struct<n_words: long, n_repeat_words: long, log_perplexity: double>")
+    out, verdict = rules.kept(measured, rules.bands(measured))
+    assert {r.doc_id: r[verdict] for r in out.where("doc_id >= 2000").collect()} == {2000: False, 2001: True}
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
