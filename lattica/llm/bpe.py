@@ -5,10 +5,11 @@ rank and place of every adjacent pair; a doubly linked list joins the symbols th
 lowest pair is popped, skipped if either side has changed since it was pushed, and merged; its new
 neighbours are pushed. Counting does the same and only counts merges: symbols less merges.
 
-Words repeat, so each worker keeps bounded tables from words to results (``TABLE`` entries, emptied
-when full); this changes no result. The text is split at white space before any other step, which
+Words repeat, so each worker keeps bounded tables from words to results (``TABLE`` entries of words of up
+to ``LONG`` letters, some 100 MB at most, emptied when full); this changes no result. The text is split at white space before any other step, which
 is exact because no pre-token and no composition in NFC spans white space.
 
+Code points that Unicode had not assigned by version 15 may be taken for other kinds than in the library.
 Null texts count as empty. Special strings inside a text become their own single token, as the
 tokenizers library does by default. Repeated rows give repeated results; an empty table an empty one.
 """
@@ -29,7 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE = 800_000
+from lattica.llm.session import lean
+
+TABLE, LONG = 400_000, 64
 DEFAULT = "word_bpe_49k.json"
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -50,16 +53,18 @@ def byte_letters() -> list[str]:
 
 
 class Table(dict):
-    """A bounded memo of a function of one word."""
+    """A bounded memo of a function of one word; words over ``LONG`` letters are not kept."""
 
     def __init__(self, make, most: int = TABLE):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.make(word)
+        value = self.make(word)
+        if len(word) <= LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -85,8 +90,8 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-        self.piece_ids, self.piece_counts = Table(self._piece_ids), Table(self._piece_count)
-        self.word_ids, self.word_counts, self.word_both = Table(self._word_ids), Table(self._word_count), Table(self._word_both, TABLE // 2)
+        self.piece_ids, self.piece_counts = Table(self.piece), Table(self._piece_count)
+        self.word_ids, self.word_counts, self.word_both = Table(self._word_ids), Table(self._word_count), Table(self._word_both)
 
     def merged(self, raw: bytes) -> tuple[list[int], list[int], int]:
         """Symbols by place, the next place of each (the last: the length), and the number of merges.
@@ -128,7 +133,8 @@ class WordBpe:
                     heappush(heap, found << 32 | h)
         return symbol, after, done
 
-    def _piece_ids(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
+        """The ids of one lower-case pre-token."""
         symbol, _, _ = self.merged(piece.encode())
         return array("I", [x for x in symbol if x >= 0]).tobytes()
 
@@ -186,12 +192,6 @@ class WordBpe:
         get = self.word_ids.__getitem__
         return b"".join([np.uint32(i).astype("<u4").tobytes() if i is not None else b"".join(map(get, words)) for i, words in parts])
 
-    def encode_together(self, texts: list[str]) -> list[bytes]:
-        """``encode`` of each text, with the new words of all of them learned first."""
-        parts = [list(self.parts(text)) for text in texts]
-        self.learn(parts)
-        return [self.joined(p) for p in parts]
-
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """The ids and the decoded text: the vocabulary strings of all ids, a space between each two."""
         ids, out = [], []
@@ -209,34 +209,6 @@ class WordBpe:
     def decode(self, ids) -> str:
         return b" ".join([self.strings[int(i)] for i in ids]).decode()
 
-    def learn(self, texts: list[list]) -> None:
-        """Fill the tables of ids for all new words of the texts' parts, merging all new pieces of one length
-        together: in each round every piece that has one merges its leftmost lowest pair."""
-        words: set[str] = set()
-        for parts in texts:
-            for _, part in parts:
-                words.update(part)
-        words.difference_update(self.word_ids)
-        if len(self.word_ids) + len(words) > self.word_ids.most:
-            self.word_ids.clear()
-        lows = [w.lower() if w.isascii() else self.lowered(w) for w in words]
-        spelled = [(low,) if low.isalpha() else self.pieces(low) for low in lows]
-        pieces = set().union(*spelled)
-        pieces.difference_update(self.piece_ids)
-        if len(self.piece_ids) + len(pieces) > self.piece_ids.most:
-            self.piece_ids.clear()
-        new: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
-            raw = p.encode()
-            new.setdefault(len(raw), []).append((p, raw))
-        for size, group in new.items():
-            if size <= 48:
-                ids, count = self.merged_together(np.frombuffer(b"".join([raw for _, raw in group]), np.uint8).reshape(-1, size))
-                flat, width = ids.astype("<u4").tobytes(), 4 * size
-                self.piece_ids.update({p: flat[i * width : i * width + 4 * n] for i, ((p, _), n) in enumerate(zip(group, count.tolist(), strict=True))})
-        ids = self.piece_ids
-        self.word_ids.update({w: ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own]) for w, own in zip(words, spelled, strict=True)})
-
     def merged_together(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (each row's at its left) and their number for pieces of equal length, a row each."""
         if not hasattr(self, "pair_keys"):
@@ -323,7 +295,7 @@ def bpe_encode(docs: DataFrame, vocab: str | None = None, keep: bool = True, id_
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def token_counts(docs: DataFrame, vocab: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,4 +309,4 @@ def token_counts(docs: DataFrame, vocab: str | None = None, limit: int = 2048, i
             size = np.array([len(x.encode()) for x in texts], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.session import lean
+
 
 class Forest:
     """Union-find over whole numbers below n; the smaller root wins."""
@@ -58,11 +60,11 @@ def components(links: DataFrame) -> DataFrame:
     by one task on an executor. Rounds are cut by checkpoint(). Null ends and loops are ignored.
     """
     ordered = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left = ordered(ordered(links).mapInArrow(_local, "a long, b long")).checkpoint()
+    left = ordered(ordered(links).mapInArrow(lean(_local), "a long, b long")).checkpoint()
     levels: list[DataFrame] = []
     while (size := left.count()) > 0:
         if size <= FINISH:
-            done = left.coalesce(1).mapInArrow(_local, "a long, b long").checkpoint()
+            done = left.coalesce(1).mapInArrow(lean(_local), "a long, b long").checkpoint()
             roots = done.select("b").distinct()
             levels.append(done.union(roots.select("b", "b")).toDF("node", "p"))
             break

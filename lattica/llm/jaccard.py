@@ -37,7 +37,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lattica.llm import textops
 from lattica.llm.graph import Forest, components
-from lattica.llm.session import unused
+from lattica.llm.session import lean, unused
 
 CELLS, RANGES, SHORT, SUB, SUB_SIZE, SALTS = 1 << 22, 64, 64, 256, 1 << 20, 16
 
@@ -94,7 +94,7 @@ def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
             counts += np.frombuffer(zlib.decompress(raw), np.uint16)
         return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "marks": [np.packbits(marked(counts)).tobytes()]})
 
-    sums = values.mapInArrow(count, "range int, counts binary").groupBy("range").applyInPandas(total, "range int, marks binary")
+    sums = values.mapInArrow(lean(count), "range int, counts binary").groupBy("range").applyInPandas(total, "range int, marks binary")
     out = np.zeros(cells // 8, np.uint8)
     for row in sums.collect():
         out[row["range"] * wide // 8 : (row["range"] + 1) * wide // 8] = np.frombuffer(row["marks"], np.uint8)
@@ -222,7 +222,7 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
             on = known & has(marks.value, textops.mix(ids.view(textops.U)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(on)], [*batch.schema.names, maybe])
 
-    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField(maybe, BooleanType())]))
+    marked = docs.mapInArrow(lean(mark), StructType([*docs.schema.fields, StructField(maybe, BooleanType())]))
     tested = marked.where(F.col(maybe)).join(gone.select(F.col(name).alias(key)), F.col(id_col).cast("long") == F.col(key), "left_anti")
     return marked.where(~F.col(maybe)).select(*docs.columns).union(tested.select(*docs.columns))
 
@@ -235,7 +235,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
             for ids, sets in _sets(batch, words):
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc_id", "n", "cls"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, cls long")
 
 
 def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -315,8 +315,8 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) ->
         on = (nx == 0) | (shared >= need(nx, ny, num, den) - -(-nx * num // den) + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[on])), pa.array(np.ascontiguousarray(y[on]))], ["a", "b"])
 
-    postings = docs.mapInArrow(post, "token long, cls long, n int").repartition("token")
-    near = postings.mapInArrow(meet, "cls long, n long, others binary, sizes binary").repartition("cls").mapInArrow(enough, "a long, b long")
+    postings = docs.mapInArrow(lean(post), "token long, cls long, n int").repartition("token")
+    near = postings.mapInArrow(lean(meet), "cls long, n long, others binary, sizes binary").repartition("cls").mapInArrow(lean(enough), "a long, b long")
 
     def rep_sets(batch: pa.RecordBatch):
         for ids, sets in _sets(batch, words):
@@ -342,7 +342,7 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
             for rows, keys, sets in rep_sets(batch.filter(pa.array(on))):
                 yield pa.RecordBatch.from_arrays([rows, pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cls", "shingles"])
 
-    held = docs.mapInArrow(fetch, "rep long, cls long, shingles binary")
+    held = docs.mapInArrow(lean(fetch), "rep long, cls long, shingles binary")
     room = placed.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("block", F.greatest(F.ceil(F.col("c") / SUB), F.ceil(F.col("s") / SUB_SIZE)).cast("int").alias("m"))
     sub = F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")
     # a block may hold a large share of the rows: its one row in ``room`` is copied for each salt
@@ -362,7 +362,7 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
                 yield pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, 0]]), pa.array(cls[pairs[:, 1]])], ["a", "b"])
 
     ordered = tasks.select("block", "i", "j", "cls", "sub", "shingles").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return ordered.mapInArrow(local, "a long, b long")
+    return ordered.mapInArrow(lean(local), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

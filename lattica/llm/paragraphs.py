@@ -32,7 +32,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from lattica.llm import jaccard, textops
 from lattica.llm.graph import components
-from lattica.llm.session import unused
+from lattica.llm.session import lean, unused
 
 LINE, RADIUS, GAP, RUN = 20, 3, 12, 25
 BANDS, ROWS, WORDS = 16, 4, 5
@@ -158,7 +158,7 @@ def distinct_units(docs: DataFrame) -> DataFrame:
                 bands = pa.array([b.tobytes() for b in units.bands(ranges[:, at])], pa.binary()) if is_line else pa.nulls(len(at), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(np.full(len(at), is_line)), pa.array(count), first, pa.array(size), bands], ["cls", "line", "count", "first", "n", "bands"])
 
-    rows = docs.mapInArrow(run, "cls long, line boolean, count long, first struct<doc: long, txt: long, place: long>, n long, bands binary")
+    rows = docs.mapInArrow(lean(run), "cls long, line boolean, count long, first struct<doc: long, txt: long, place: long>, n long, bands binary")
     return rows.groupBy("cls").agg(F.first("line").alias("line"), F.sum("count").alias("count"), F.min("first").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
 
 
@@ -183,7 +183,7 @@ def colliding(lines: DataFrame) -> DataFrame:
             same = key[1:] == key[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(cls[1:][same]), pa.array(cls[:-1][same])], ["a", "b"])
 
-    return lines.select("cls", "bands").mapInArrow(spread, "key long, cls long").repartition("key").mapInArrow(meet, "a long, b long")
+    return lines.select("cls", "bands").mapInArrow(lean(spread), "key long, cls long").repartition("key").mapInArrow(lean(meet), "a long, b long")
 
 
 def _line_sets(batch: pa.RecordBatch):
@@ -230,7 +230,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     cols = [keys, ids[row], texts[row], units.starts[a] - units.offs[row], units.ends[b - 1] - units.offs[row], a - first_word, b - first_word]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(a), is_line))], ["cls", "doc_id", "txt", "start", "end", "w0", "w1", "whole_line"])
 
-    found = slim.mapInArrow(run, "cls long, doc_id long, txt long, start long, end long, w0 long, w1 long, whole_line boolean").dropDuplicates(["doc_id", "txt", "start", "end", "whole_line"])
+    found = slim.mapInArrow(lean(run), "cls long, doc_id long, txt long, start long, end long, w0 long, w1 long, whole_line boolean").dropDuplicates(["doc_id", "txt", "start", "end", "whole_line"])
     placed = found.join(classes, "cls")
 
     def runs(batches):
@@ -259,7 +259,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.struct(F.col("doc_id").alias("doc"), F.col("txt"), F.col("start").alias("place"))
     spans = placed.select("doc_id", "txt", "start", "end", "w0", "w1", "whole_line", F.col("first.doc").alias("first_doc_id"), (own != F.col("first")).alias("removed"))
     ordered = spans.repartition("doc_id", "txt").sortWithinPartitions("doc_id", "txt", "w0", F.desc("w1"), F.desc("whole_line"))
-    return ordered.mapInArrow(runs, "doc_id long, txt long, start long, end long, n_words long, whole_line boolean, first_doc_id long, removed boolean")
+    return ordered.mapInArrow(lean(runs), "doc_id long, txt long, start long, end long, n_words long, whole_line boolean, first_doc_id long, removed boolean")
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +286,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys), pa.array(cut)], [*part.schema.names, txt, cut_])
 
     extra = [StructField(txt, LongType()), StructField(cut_, BooleanType())]
-    marked = named.mapInArrow(split, StructType([*named.schema.fields, *extra]))
+    marked = named.mapInArrow(lean(split), StructType([*named.schema.fields, *extra]))
 
     def shorten(batches):
         for batch in batches:
@@ -309,7 +309,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
     joined = marked.where(F.col(cut_)).join(cuts, [id_, txt], "left")
-    cleaned = joined.mapInArrow(shorten, joined.schema).select(*docs.columns)
+    cleaned = joined.mapInArrow(lean(shorten), joined.schema).select(*docs.columns)
     return marked.where(~F.col(cut_)).select(*docs.columns).union(cleaned)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lattica.llm import textops
 from lattica.llm.labelled import held_out, sample
+from lattica.llm.session import lean
 
 ROWS, LONGEST, CHUNKS = 1500, 60_000, 64
 WIDTH, STEP, HALF, FILTERS, HIDDEN = 8, 4, 32, 16, 12
@@ -197,7 +198,7 @@ def scored(docs: DataFrame, net: Net, name: str = "score", text_col: str = "text
                 p = 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from lattica.llm import textops
-from lattica.llm.session import unused
+from lattica.llm.session import lean, unused
 
 ORDER, CLASSES = 4, 64
 WIDTH, PRIOR, FLOOR = 5.5, 20, 0.05
@@ -140,7 +140,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 counts = np.bincount(back, np.concatenate([counts, weight]), len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["gram", "n"])
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long")
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "gram long, n long")
     return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -230,7 +230,7 @@ def scored(docs: DataFrame, model: KneserNey, text_col: str = "text", name: str
                 yield pa.RecordBatch.from_arrays([*part.columns, inner], [*part.schema.names, name])
 
     measures = StructType.fromDDL(f"{BASE}, log_perplexity double")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, measures)]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, measures)]))
 
 
 def base_failed(name: str = "_q"):

@@ -31,6 +31,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lattica.llm import textops
 from lattica.llm.labelled import held_out, sample
+from lattica.llm.session import lean
 
 ROWS, LONGEST, LANDMARKS = 1500, 60_000, 48
 P, LAMBDA, SPAN, LETTERS = 4, 0.7, 24, 1.0
@@ -309,7 +310,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score", text_col: str
                 p = shared.value.probability(strongest(shared.value, *textops.packed(part.column(part.schema.get_field_index(text_col)))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.astype(np.float64))], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

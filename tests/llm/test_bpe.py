@@ -2,18 +2,21 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tests.llm.fixtures import documents, texts
 from tokenizers import Tokenizer
 
-from lattica.llm import bpe, packing
+from lattica.llm import bpe, flat, packing
 from lattica.llm.session import prepared
 
 LIBRARY = Tokenizer.from_file(bpe.vocabulary())
 ALPHABET = st.sampled_from(["the", "THE", "don't", "'s", "'", "<|endoftext|>", "<|startoftext|>", "<|", "Σ", "ΑΣ", "İ", "é", "́", "\x1c", "\x85", "​", "½", "²", "漢字", "🙂", " ", "\n", "　", "12", "_", "\x00", "ﬁ"])
 
+LATIN = st.sampled_from(["À", "Þ", "ß", "ÿ", "÷", "×", "Æ", "ñ", "à", "a9", "1½", "<", "|", "<|", "ab<|c", "e\u0301", "Ÿ", "'S", "n't", "--", "a.b", "Ö.", "\u00a0"])
+
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ALPHABET, max_size=12).map("".join))
@@ -24,15 +27,25 @@ def test_ids_equal_the_library(text):
     assert decoded.decode() == LIBRARY.decode(want, skip_special_tokens=False) == own.decode(want)
     assert own.count(text) == len(want)
     fresh = bpe.WordBpe(bpe.vocabulary()) if len(text) > 60 else own
-    assert fresh.encode_together([text]) == [ids] == [fresh.encode(text)]
+    assert fresh.encode(text) == ids
+
+
+def in_flat_arrays(encoder, rows):
+    ids, cut = encoder.encode(pa.array(rows, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(ALPHABET | LATIN | st.text(st.characters(exclude_categories=['Cs', 'Cn']), max_size=6), max_size=12).map("".join) | st.none(), max_size=5))
+def test_flat_arrays_equal_the_library(rows):
+    small = flat.FlatEncoder(bpe.load(bpe.vocabulary()), most=2000)  # emptied again and again
+    want = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in rows]
+    assert in_flat_arrays(flat.loaded(bpe.vocabulary()), rows) == want == in_flat_arrays(small, rows) == in_flat_arrays(small, rows)
 
 
-def test_merging_together_equals_the_heap():
-    own = bpe.WordBpe(bpe.vocabulary())
-    words = sorted({w for _, t in texts(3) for w in (t or "").lower().split() if w.isalpha()})
-    heap = {w: own._piece_ids(w) for w in words}
-    own.encode_together(words)
-    assert {w: own.piece_ids[w] for w in words} == heap
+def test_flat_arrays_over_prose_and_long_words():
+    rows = [t for _, t in texts(3)] + ["x" * 5000, "ab" * 30 + "é" * 40, "aÀÞßÿ÷×é9'9"]
+    assert in_flat_arrays(flat.loaded(bpe.vocabulary()), rows) == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in rows]
 
 
 def test_operators_over_odd_rows(spark):
@@ -53,11 +66,16 @@ def test_operators_over_odd_rows(spark):
     assert bpe.token_counts(documents(spark, empty=True)).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [[5, 4, 3, 3, 3], [1] * 17, [2047, 2, 2047], [9], list(range(1, 60))])
+@pytest.mark.parametrize("sizes", [[5, 4, 3, 3, 3], [1] * 17, [2047, 2, 2047], [1400] * 9, [9], list(range(1, 60))])
 def test_windows_hold_everything_within_capacity(sizes):
     groups = packing.windows(sizes, 2048)
-    assert sorted(i for g in groups for i in g) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in g) <= 2048 for g in groups)
+    parts = sorted(p for g in groups for p in g)
+    for i, size in enumerate(sizes):
+        own = [(first, n) for j, first, n in parts if j == i]
+        assert all(n > 0 for _, n in own) and sum(n for _, n in own) == size
+        assert [first for first, _ in own] == [sum(n for _, n in own[:x]) for x in range(len(own))]
+    assert all(sum(n for _, _, n in g) <= 2048 for g in groups)
+    assert len(groups) <= -(-sum(sizes) // 2048)
 
 
 def test_differencing_is_near_equal():
@@ -93,3 +111,21 @@ def test_packing_holds_every_id_once(spark):
             at += length
         assert at <= 2048
     assert packing.pack(documents(spark, empty=True)).count() == 0
+
+
+def test_padding_and_cut_pieces(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), " ".join(["the"] * int(n))) for i, n in enumerate(rng.integers(0, 3000, 900))] + [(5000, "the " * 20_000)]
+    pieces = packing.pack(prepared(spark).createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    total = sum(len(t.split()) + 1 for _, t in rows)
+    assert sum(p.length for p in pieces) == total
+    assert len({p.sequence_id for p in pieces}) <= total / 2048 + 1
+    by_doc = {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append((p.start, p.length, p.doc_tokens))
+    for parts in by_doc.values():
+        at = 0
+        for start, length, doc_tokens in sorted(parts):
+            assert start == at and length > 0
+            at += length
+        assert at == doc_tokens
