@@ -2,77 +2,67 @@
 
 Base rules (whole texts, words as in ``textops``): fewer than 50 words, or over half of the words in
 three-word windows that the text repeats, reject a text. The method's verdict is a modified
-Kneser-Ney model of letters inside words: order 4 over 64 letter classes, word boundaries included.
-
-* Counting: every task counts the 4-grams of its texts, Spark sums them over all texts. What is
-  gathered grows with the input; the summed table has at most 64^4 = 2^24 keys, which bounds both
-  what reaches the driver and what is broadcast (12 bytes a key).
-* Model: three discounts an order from the counts of counts, continuation counts below the highest
-  order, interpolated with a uniform distribution. Each order is a sorted array of packed n-grams
-  with log probabilities, and one of contexts with log weights; lookups are binary searches.
-* Bands: the log perplexity of each text that passes the base rules, per language, over all texts;
-  median plus and minus ``width`` times the robust spread. A text outside is rejected. One law at every
-  size: the median and spread of a language (null is one) of n such texts are means of its own, with
+Kneser-Ney model over all texts: n-grams of ``ORDER`` bytes across words, letters as they are, a space
+after each word, spaces before a text.
+
+* Counting: every task counts the n-grams of its texts, Spark sums them. No alphabet, vocabulary or count is
+  cut, so what is gathered and stored grows with the input.
+* Model: continuation counts below the highest order, three discounts an order from the counts of
+  counts, interpolated down to a uniform distribution over bytes; all by DataFrame aggregates, windows and
+  joins over distinct n-grams. Each n-gram found has its log probability in the table, so scoring the
+  counted texts needs no other order.
+* Scoring: the table is dealt by hash into ``shards`` of about ``SHARD`` n-grams. A shard is a sorted array of packed
+  n-grams with their logs, broadcast by itself (12 bytes an n-gram, 50 MB); one pass over the texts looks
+  up each shard, and the sums of all passes add up. One law at every size: only the number of passes grows,
+  with the distinct n-grams of the corpus.
+* Bands: the log perplexity (a byte) of each text that passes the base rules, per language, over all texts; from
+  the median ``LOW`` robust spreads down and ``HIGH`` up. A text outside is rejected; on an edge it stays. The
+  median and spread of a language (null is one) of n such texts are means of its own, with
   weight n, and those of all languages together, with weight ``prior``; the band is wider by
   sqrt(1 + 1/n).
 
-Null and empty texts have no words and fail the base rules. Repeated rows get the same verdict.
-An empty table gives an empty result.
+Null and empty texts have no words and fail the base rules. Repeated rows get the same verdict. Temporary
+memory follows a few megabytes of text, or the longest text. Where there are more shards than one, texts are
+known by a 64-bit hash and their size. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lattica.llm import textops
+from lattica.llm import jaccard, textops
+from lattica.llm.flat import distinct, spread
 from lattica.llm.session import lean, unused
 
-ORDER, CLASSES = 4, 64
-WIDTH, PRIOR, FLOOR = 5.5, 20, 0.05
+ORDER, SHARD, HELD = 5, 1 << 22, 1 << 22
+LOW, HIGH, PRIOR, FLOOR = 6.0, 4.5, 20, 0.05
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = b"#*$%&|<>"
-
-
-def _classes() -> np.ndarray:
-    """The class of each byte: 0 is the word boundary, then a-z, A-Z, digits, marks and other bytes."""
-    kind = np.full(256, 57, np.uint8)
-    kind[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    kind[ord("A") : ord("Z") + 1] = np.arange(27, 53)
-    kind[ord("0") : ord("9") + 1] = 53
-    for marks, k in ((b"'-", 54), (b".,;:!?", 55), (_SYMBOLS, 56)):
-        kind[list(marks)] = k
-    kind[128:] = 58 + np.arange(128) % 6
-    return kind
-
-
-_KIND = _classes()
 _SYMBOL = np.isin(np.arange(256), list(_SYMBOLS))
 
 
-def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All 4-grams of the words (each between boundaries), packed, and the index of their words."""
-    size = ends - starts + ORDER  # boundary letters before and one after
-    owner = np.repeat(np.arange(len(starts)), size)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) - (ORDER - 1)
-    inside = (place >= 0) & (place < (ends - starts)[owner])
-    letter = np.zeros(len(owner), np.uint32)
-    letter[inside] = _KIND[data[starts[owner[inside]] + place[inside]]]
-    packed = letter.copy()
+def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed n-gram that ends at each byte of the words and at the space after each, and its text."""
+    size = ends - starts + 1
+    stream = data[np.minimum(spread(starts, size), max(len(data) - 1, 0))]
+    stream[np.cumsum(size) - 1] = 32
+    owner = np.repeat(text, size)
+    new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    packed = stream.astype(textops.U)
     for k in range(1, ORDER):
-        packed[k:] |= letter[:-k] << np.uint32(6 * k)
-    on = place >= 0
-    return packed[on], owner[on]
-
-
-def _unique_words(data, offs):
-    starts, ends, text = textops.spans(data, offs)
-    hashed = textops.hashes(data, starts, ends)
-    _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-    return starts, ends, text, hashed, first, which
+        before = np.full(len(stream), 32, np.uint8)
+        before[k:] = stream[:-k]
+        for j in range(k):  # what stands before a text
+            edge = new + j
+            before[edge[edge < len(stream)]] = 32
+        packed |= before.astype(textops.U) << textops.U(8 * k)
+    return packed.view(np.int64), owner
 
 
 def base_measures(data: np.ndarray, offs: np.ndarray, starts, ends, text, hashed) -> dict[str, np.ndarray]:
@@ -126,111 +116,122 @@ def base_measures(data: np.ndarray, offs: np.ndarray, starts, ends, text, hashed
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n): how often each packed 4-gram is found in the words of all texts."""
+    """(gram, n): how often each packed n-gram is found in all texts."""
 
     def run(batches):
-        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in textops.chunks(batch, "text"):
+            for part in textops.chunks(batch, "text", 2 << 20):
                 data, offs = textops.packed(part.column(0))
-                starts, ends, _, _, first, which = _unique_words(data, offs)
-                grams, owner = _grams(data, starts[first], ends[first])
-                weight = np.bincount(which, minlength=len(first))[owner]
-                keys, back = np.unique(np.concatenate([keys, grams]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, weight]), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["gram", "n"])
+                words = textops.spans(data, offs)
+                if not len(words[0]):
+                    continue
+                found, n = np.unique(grams(data, *words)[0], return_counts=True)
+                keys, _, back = distinct(np.concatenate([keys, found]))
+                counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                if len(keys) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
+                    keys, counts = keys[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "gram long, n long")
     return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-class KneserNey:
-    """Modified Kneser-Ney over packed n-grams, one pair of sorted arrays an order."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+def discounts(found: list[int]) -> list[float]:
+    """The discounts of counts 1, 2 and 3 or more from how many n-grams have the counts 1 to 4."""
+    if min(found) == 0:
+        return [0.5, 0.75, 0.9]
+    y = found[0] / (found[0] + 2 * found[1])
+    ideal = [k - (k + 1) * y * found[k] / found[k - 1] for k in (1, 2, 3)]
+    return [min(max(d, 0.1), k - 0.05) for k, d in zip((1, 2, 3), ideal, strict=True)]
+
+
+def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, p): the probability of the last byte of each n-gram of ``counts`` (gram, n) after the others."""
+    shorter = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+    tables = {order: counts.checkpoint()}
+    for k in range(order - 1, 0, -1):  # continuation counts: how many bytes stand before
+        tables[k] = tables[k + 1].groupBy(shorter(k).alias("gram")).agg(F.count("*").alias("n")).checkpoint()
+    below = None
+    for k in range(1, order + 1):
+        ones = tables[k].agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]).first()
+        d = discounts(list(ones))
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        after = Window.partitionBy(F.shiftright("gram", 8))
+        total = F.sum("n").over(after)
+        level = tables[k].select("gram", ((F.col("n") - cut) / total).alias("own"), (F.sum(cut).over(after) / total).alias("weight"))
+        if below is None:
+            below = level.select("gram", (F.col("own") + F.col("weight") / 256).alias("p"))
+        else:
+            under = below.select(F.col("gram").alias("suffix"), "p")
+            below = level.join(under, shorter(k - 1) == F.col("suffix")).select("gram", (F.col("own") + F.col("weight") * F.col("p")).alias("p"))
+    return below
+
+
+class Model:
+    """The log probabilities of all n-grams, in shards."""
+
+    def __init__(self, table: DataFrame, most: int = SHARD):
+        self.table = table.select("gram", F.log("p").cast("float").alias("log")).checkpoint()
+        self.shards = max(1, -(-self.table.count() // most))
+
+    def arrays(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of a shard, sorted, and their logs; about ``SHARD`` of them."""
+        own = self.table.where(F.pmod(F.xxhash64("gram"), F.lit(self.shards)) == shard).toArrow()
+        keys = own["gram"].to_numpy()
         order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.float64)
-        tables = {ORDER: (keys, counts)}
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: how many letters stand before
-            short, count = np.unique(tables[n + 1][0] & ((1 << 6 * n) - 1), return_counts=True)
-            tables[n] = (short, count.astype(np.float64))
-        below = np.full(CLASSES, 1.0 / CLASSES)
-        self.orders = []
-        for n in range(1, ORDER + 1):
-            keys, counts = tables[n]
-            discount = self._discounts(counts)
-            context, at = np.unique(keys >> 6, return_inverse=True)
-            total = np.bincount(at, counts, len(context))
-            cut = discount[np.minimum(counts, 3).astype(int)]
-            weight = np.bincount(at, cut, len(context)) / total
-            lower = below[keys] if n == 1 else self._prob(keys & ((1 << 6 * (n - 1)) - 1), n - 1)
-            prob = np.maximum(counts - cut, 0) / total[at] + weight[at] * lower
-            self.orders.append((keys, np.log(prob), context, np.log(np.maximum(weight, 1e-12))))
-
-    @staticmethod
-    def _discounts(counts: np.ndarray) -> np.ndarray:
-        n = [float((counts == k).sum()) for k in range(1, 5)]
-        if min(n) == 0:
-            return np.array([0, 0.5, 0.75, 0.9])
-        y = n[0] / (n[0] + 2 * n[1])
-        found = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
-        return np.array([0.0, *(min(max(d, 0.1), k - 0.05) for k, d in zip((1, 2, 3), found, strict=True))])
-
-    def _prob(self, grams: np.ndarray, n: int) -> np.ndarray:
-        return np.exp(self.log(grams, n))
-
-    def log(self, grams: np.ndarray, n: int = ORDER) -> np.ndarray:
-        """Log probability of the last letter of each n-gram after the letters before it."""
-        out = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        grams = grams.astype(np.int64)
-        for k in range(n, 0, -1):
-            keys, logs, context, weights = self.orders[k - 1]
-            if not len(keys):
-                continue
-            key = grams[left] & ((1 << 6 * k) - 1)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            out[left[hit]] += logs[at[hit]]
-            left, key = left[~hit], key[~hit] >> 6
-            if not len(left):
-                return out
-            at = np.minimum(np.searchsorted(context, key), len(context) - 1)
-            out[left] += np.where(context[at] == key, weights[at], 0.0)
-        out[left] += -np.log(CLASSES)
-        return out
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
-    """Count over all texts and build the model; the table that reaches the driver has at most 2^24 rows."""
-    table = gram_counts(docs, text_col).toArrow()
-    return KneserNey(table["gram"].to_numpy(), table["n"].to_numpy())
-
-
-def scored(docs: DataFrame, model: KneserNey, text_col: str = "text", name: str = "_q") -> DataFrame:
-    """All columns of ``docs`` and, in one struct ``name``, the base columns and the log perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            for part in textops.chunks(batch, text_col):
-                data, offs = textops.packed(part.column(part.schema.get_field_index(text_col)))
-                starts, ends, text, hashed, first, which = _unique_words(data, offs)
-                base = base_measures(data, offs, starts, ends, text, hashed)
-                grams, owner = _grams(data, starts[first], ends[first])
-                unique, back = np.unique(grams, return_inverse=True)
-                word = np.bincount(owner, model.log(unique)[back], len(first))
-                letters = (ends - starts)[first] + 1
-                cost = np.bincount(text, word[which], part.num_rows)
-                size = np.bincount(text, letters[which], part.num_rows)
-                ppl = np.where(size > 0, -cost / np.maximum(size, 1), 0.0)
-                cols = [pa.array(v) for v in base.values()] + [pa.array(ppl)]
-                inner = pa.StructArray.from_arrays(cols, [*base, "log_perplexity"])
-                yield pa.RecordBatch.from_arrays([*part.columns, inner], [*part.schema.names, name])
-
-    measures = StructType.fromDDL(f"{BASE}, log_perplexity double")
-    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, measures)]))
+        return keys[order], own["log"].to_numpy()[order]
+
+
+def fit(docs: DataFrame, text_col: str = "text", shard: int = SHARD) -> Model:
+    """Count over all texts and build the model."""
+    return Model(probabilities(gram_counts(docs, text_col)), shard)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs`` but ``text``, and in one struct ``_q`` the base columns and the log perplexity."""
+    spark, rest = docs.sparkSession, [c for c in docs.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(*rest, F.xxhash64(text).alias("_h"), F.octet_length(text).alias("_size"), "text")
+    inner = StructType.fromDDL(f"{BASE}, symbols long, cost double")
+
+    def looked_up(shard: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast(model.arrays(shard))
+
+        def run(batches):
+            known, logs = shared.value
+            for batch in batches:
+                for part in textops.chunks(batch, "text", 2 << 20):
+                    data, offs = textops.packed(part.column(part.schema.get_field_index("text")))
+                    words = textops.spans(data, offs)
+                    n = part.num_rows
+                    cost = np.zeros(n)
+                    if len(words[0]) and len(known):
+                        keys, _, back = distinct(grams(data, *words)[0])
+                        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                        value = np.where(known[at] == keys, logs[at], 0).astype(np.float64)
+                        size = words[1] - words[0] + 1
+                        sums = np.concatenate([[0], np.cumsum(value[back])])
+                        cost -= np.bincount(words[2], np.diff(sums[np.concatenate([[0], np.cumsum(size)])]), n)
+                    symbols = np.bincount(words[2], words[1] - words[0] + 1, n).astype(np.int64)
+                    found = base_measures(data, offs, *words, textops.hashes(data, *words[:2])) if shard == 0 else {f.name: np.zeros(n, np.int64) for f in inner[:5]}
+                    cols = [*map(pa.array, found.values()), pa.array(symbols), pa.array(cost)]
+                    named = pa.StructArray.from_arrays(cols, inner.names)
+                    kept = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text"]
+                    yield pa.RecordBatch.from_arrays([*kept, named], [c for c in part.schema.names if c != "text"] + ["_q"])
+
+        source = keyed if shard == 0 else keyed.select("_h", "_size", "text")
+        return source.mapInArrow(lean(run), StructType([*[f for f in source.schema if f.name != "text"], StructField("_q", inner)]))
+
+    first, cost = looked_up(0), F.col("_q.cost")
+    if model.shards > 1:
+        more = reduce(DataFrame.union, [looked_up(s).select("_h", "_size", F.lit(s).alias("s"), "_q.cost").dropDuplicates(["_h", "_size"]) for s in range(1, model.shards)])
+        total = more.groupBy("_h", "_size").agg(F.sum("cost").alias("_more"))
+        first, cost = first.join(total, ["_h", "_size"]), F.col("_q.cost") + F.col("_more")
+    names = [f.name for f in inner[:5]]
+    q = F.struct(*[F.col(f"_q.{c}").alias(c) for c in names], F.when(F.col("_q.symbols") > 0, cost / F.col("_q.symbols")).otherwise(0.0).alias("log_perplexity"))
+    return first.select(*rest, q.alias("_q"))
 
 
 def base_failed(name: str = "_q"):
@@ -238,9 +239,9 @@ def base_failed(name: str = "_q"):
     return (q.n_words < 50) | (100 * q.n_repeat_words > 50 * q.n_words)
 
 
-def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, prior: float = PRIOR) -> DataFrame:
+def bands(measured: DataFrame, lang_col: str = "lang", low: float = LOW, high: float = HIGH, prior: float = PRIOR) -> DataFrame:
     """(band_lang, low, high) of the log perplexity, a row for each language of ``measured`` (lang, _q),
-    which is read twice: pass a checkpoint."""
+    which is read twice: pass a checkpoint. ``low`` and ``high`` are in robust spreads."""
     passed = measured.where(~base_failed()).select(F.col(lang_col).cast("string").alias("lang"), F.col("_q.log_perplexity").alias("p"))
 
     def middle(df, *by):
@@ -251,8 +252,8 @@ def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH, pri
     every = middle(passed).first()
     share = F.col("n") / (F.col("n") + F.lit(float(prior)))
     shrunk = lambda name: share * F.col(name) + (1 - share) * F.lit(every[name])
-    half = width * shrunk("spread") * F.sqrt(1 + 1 / F.col("n"))
-    return middle(passed, "lang").select(F.col("lang").alias("band_lang"), (shrunk("mid") - half).alias("low"), (shrunk("mid") + half).alias("high"))
+    unit = shrunk("spread") * F.sqrt(1 + 1 / F.col("n"))
+    return middle(passed, "lang").select(F.col("lang").alias("band_lang"), (shrunk("mid") - low * unit).alias("low"), (shrunk("mid") + high * unit).alias("high"))
 
 
 def kept(measured: DataFrame, table: DataFrame, lang_col: str = "lang", name: str = "_q") -> tuple[DataFrame, str]:
@@ -265,22 +266,22 @@ def kept(measured: DataFrame, table: DataFrame, lang_col: str = "lang", name: st
     return joined.withColumn(out, ~base_failed(name) & inside).drop(lang, low, high), out
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = LOW, high: float = HIGH, shard: int = SHARD) -> DataFrame:
     """Per text: doc_id, the base columns, base_failed, kept and log_perplexity."""
-    model = fit(docs, text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    measured = scored(slim, model, "text").drop("text").checkpoint()
-    out, verdict = kept(measured, bands(measured, width=width))
+    measured = scored(slim, fit(slim, shard=shard)).checkpoint()
+    out, verdict = kept(measured, bands(measured, low=low, high=high))
     names = [f.split()[0] for f in BASE.split(", ")]
     return out.select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in names], base_failed().alias("base_failed"), F.col(verdict).alias("kept"), F.col("_q.log_perplexity").alias("log_perplexity"))
 
 
-def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that are kept. Texts are measured twice, once for the bands and once beside
-    their rows, so that no text is shuffled."""
-    model = fit(docs, text_col)
-    slim = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    limits = bands(scored(slim, model).drop("text").checkpoint(), width=width)
-    name = unused(docs, "_q")
-    out, verdict = kept(scored(docs, model, text_col, name), limits, lang_col, name)
-    return out.where(F.col(verdict)).select(*docs.columns)
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", low: float = LOW, high: float = HIGH, shard: int = SHARD) -> DataFrame:
+    """The rows of ``docs`` that are kept. Rejected texts are known by a 64-bit hash of text and language; only
+    rows that may be among them are shuffled."""
+    key = unused(docs, "_key")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.col(lang_col).isNull())
+    slim = docs.select(hashed.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    measured = scored(slim, fit(slim, shard=shard)).checkpoint()
+    out, verdict = kept(measured, bands(measured, low=low, high=high))
+    gone = out.where(~F.col(verdict)).select("key").distinct().checkpoint()
+    return jaccard.without(docs.withColumn(key, hashed), gone, key).drop(key)

@@ -35,8 +35,8 @@ ODD = ["", None, " \n\n ", "a b c a b c", "x\nx\nx\n x\n\n", "é|é|é <>", "a a
 def test_base_measures_equal_brute_force():
     rows = ODD + [t for _, t in texts(4)][:20] + [" ".join(random.Random(1).choices("ab", k=200))]
     data, offs = textops.packed(pa.array(rows))
-    starts, ends, text, hashed, _, _ = rules._unique_words(data, offs)
-    found = rules.base_measures(data, offs, starts, ends, text, hashed)
+    starts, ends, text = textops.spans(data, offs)
+    found = rules.base_measures(data, offs, starts, ends, text, textops.hashes(data, starts, ends))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     assert [tuple(int(found[n][i]) for n in names) for i in range(len(rows))] == [base(t) for t in rows]
 
@@ -55,28 +55,103 @@ def test_rules_operator(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rules.quality_rules(docs).collect())
 
 
+def stream(text):
+    """What the model reads of a text: its words, a space after each; and the spaces before it."""
+    return b" " * (rules.ORDER - 1), b"".join(w + b" " for w in WORD.findall((text or "").encode()))
+
+
+def brute_force(rows):
+    """Log perplexities by a plain modified Kneser-Ney model, level by level."""
+    counts = {n: {} for n in range(1, rules.ORDER + 1)}
+    for t in rows:
+        before, own = stream(t)
+        for i in range(len(own)):
+            gram = (before + own)[i : i + rules.ORDER]
+            counts[rules.ORDER][gram] = counts[rules.ORDER].get(gram, 0) + 1
+    for n in range(rules.ORDER - 1, 0, -1):
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] = counts[n].get(gram[1:], 0) + 1
+    cut = {n: rules.discounts([sum(c == k for c in counts[n].values()) for k in (1, 2, 3, 4)]) for n in counts}
+    after = {n: {} for n in counts}
+    for n, table in counts.items():
+        for gram, c in table.items():
+            after[n].setdefault(gram[:-1], []).append(c)
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / 256
+        seen, d = after[n].get(gram[:-1]), cut[n]
+        if not seen:
+            return p(gram[1:])
+        c = counts[n].get(gram, 0)
+        return ((c - d[min(c, 3) - 1] if c else 0) + sum(d[min(x, 3) - 1] for x in seen) * p(gram[1:])) / sum(seen)
+
+    out = []
+    for t in rows:
+        before, own = stream(t)
+        logs = [np.log(p((before + own)[i : i + rules.ORDER])) for i in range(len(own))]
+        out.append(-float(np.mean(logs)) if logs else 0.0)
+    return out, p, after
+
+
+def test_perplexity_and_verdict_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [prose(rng, rng.randint(45, 70)) for _ in range(30)] + ["é漢 \x00 z" * 20, "", " \n", prose(rng, 60).upper(), " ".join(rng.choices("qwxz", k=90))] + [None]
+    langs = ["en" if i % 3 else None for i in range(len(rows))]
+    docs = prepared(spark).createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(rows, langs, strict=True))], "doc_id long, text string, lang string").repartition(3)
+    want, p, after = brute_force(rows)
+    for context in list(after[rules.ORDER])[:3]:
+        assert abs(sum(p(context + bytes([b])) for b in range(256)) - 1) < 1e-9
+    found = sorted(rules.quality_rules(docs, low=2.0, high=2.0).collect())
+    assert np.allclose([r.log_perplexity for r in found], want, atol=1e-5)
+    passed = [(lang, x) for lang, x, r in zip(langs, want, found, strict=True) if not r.base_failed]
+
+    def middle(xs):
+        xs = sorted(xs)
+        quarter = [xs[max(-(-len(xs) * k // 4) - 1, 0)] for k in (1, 2, 3)]
+        return quarter[1], max((quarter[2] - quarter[0]) / 1.349, rules.FLOOR / 4)
+
+    every = middle([x for _, x in passed])
+    for lang, x, r in zip(langs, want, found, strict=True):
+        own = [y for k, y in passed if k == lang]
+        share = len(own) / (len(own) + rules.PRIOR)
+        mid, spread = (share * a + (1 - share) * b for a, b in zip(middle(own), every, strict=True))
+        inside = abs(x - mid) <= 2.0 * spread * (1 + 1 / len(own)) ** 0.5
+        assert r.kept == (not r.base_failed and inside)
+    assert any(not r.base_failed and not r.kept for r in found)
+
+
+def test_shards_change_no_result(spark):
+    docs = documents(prepared(spark))
+    rows = [docs.collect(), rules.quality_rules(docs).collect(), rules.quality_rules(docs, shard=700).collect()]
+    assert rules.fit(docs, shard=700).shards > 3
+    one, many = ({(r.doc_id, r.n_words, r.word_chars): r for r in x} for x in rows[1:])
+    assert len(rows[1]) == len(rows[2]) == len(rows[0]) and one.keys() == many.keys()
+    assert all(one[k].kept == many[k].kept and abs(one[k].log_perplexity - many[k].log_perplexity) < 1e-6 for k in one)
+    assert sorted(map(str, rules.passing(docs).collect())) == sorted(map(str, rules.passing(docs, shard=700).collect()))
+
+
 def test_gram_counts_equal_brute_force(spark):
-    rows = [t for _, t in texts(6)][:8]
+    rows = [t for _, t in texts(6)][:8] + ["é", "a", None]
     docs = prepared(spark).createDataFrame([(t,) for t in rows] * 2, "text string").repartition(3)
     want = {}
     for t in rows * 2:
-        for w in WORD.findall((t or "").encode()):
-            kinds = [0, 0, 0, *rules._KIND[list(w)].tolist(), 0]
-            for k in range(len(w) + 1):
-                key = 0
-                for x in kinds[k : k + 4]:
-                    key = key << 6 | x
-                want[key] = want.get(key, 0) + 1
+        before, own = stream(t)
+        for i in range(len(own)):
+            key = int.from_bytes((before + own)[i : i + rules.ORDER], "big")
+            want[key] = want.get(key, 0) + 1
     assert {r.gram: r.n for r in rules.gram_counts(docs).collect()} == want
 
 
-def test_kneser_ney_is_a_distribution():
-    rng = np.random.default_rng(1)
-    letters = rng.integers(1, 9, 4000)
-    keys, counts = np.unique([int(a) << 18 | int(b) << 12 | int(c) << 6 | int(d) for a, b, c, d in zip(letters, letters[1:], letters[2:], letters[3:], strict=False)], return_counts=True)
-    model = rules.KneserNey(keys, counts)
-    for context in (keys[0] >> 6, keys[50] >> 6, (60 << 12) | (61 << 6) | 3, 0):
-        assert abs(np.exp(model.log((context << 6) | np.arange(64))).sum() - 1) < 1e-6
+def test_a_text_longer_than_a_chunk(spark):
+    rng = random.Random(5)
+    long = " ".join(prose(rng, 2000) for _ in range(220))
+    assert len(long) > 2 << 20
+    docs = prepared(spark).createDataFrame([(1, long, "en"), (2, long[: 1 << 19], "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in rules.quality_rules(docs).collect()}
+    assert got[1].n_words == 220 * 2000 and got[1].word_chars == len(long.replace(" ", ""))
+    assert abs(got[1].log_perplexity - got[2].log_perplexity) < 0.05
 
 
 def test_perplexity_bands_reject_noise_and_keep_prose(spark):
@@ -100,13 +175,13 @@ def test_bands_move_little_with_one_more_text(spark):
     assert abs(low - low_less) < 0.02 and abs(high - high_less) < 0.02
 
 
-def test_bands_reject_at_six_and_a_half_spreads(spark):
+def test_bands_reject_beyond_their_widths(spark):
     rows = [2.0 + 0.001 * (i % 1000) for i in range(2000)]
     spread = 0.5 / 1.349
-    rows += [2.4995 + 6.5 * spread, 2.4995 + 5 * spread]
+    rows += [2.4995 + 4.7 * spread, 2.4995 + 4.3 * spread, 2.4995 - 6.2 * spread, 2.4995 - 5.8 * spread]
     measured = prepared(spark).createDataFrame([(i, "en", (90, 0, p)) for i, p in enumerate(rows)], "doc_id long, lang string, _q struct<n_words: long, n_repeat_words: long, log_perplexity: double>")
     out, verdict = rules.kept(measured, rules.bands(measured))
-    assert {r.doc_id: r[verdict] for r in out.where("doc_id >= 2000").collect()} == {2000: False, 2001: True}
+    assert {r.doc_id: r[verdict] for r in out.where("doc_id >= 2000").collect()} == {2000: False, 2001: True, 2002: False, 2003: True}
 
 
 def held(i):
