@@ -1,15 +1,15 @@
 """Sharding by a hierarchical weighted hash tree (operator 8), in DataFrame functions only.
 
-Shards are leaves of racks, racks of regions. A row descends from the root: at each level every child
-draws an exponential number from a hash of (id, child) divided by the child's weight, and the smallest
-draw wins. A child's weight is the number of shards below it, so shards get equal shares. When a
-weight changes, only draws of that child change: rows move into or out of its subtree and nowhere
-else. A region holds four shards in two racks, so shard 8 opens a region of its own and takes rows
-into itself only. Later shards that join an open region move rows inside that region as well.
+Shards are leaves of racks, racks of regions. For each row every shard draws an exponential number, from a
+hash of (id, shard) divided by the shard's weight; a rack's draw is the smallest of its shards, a region's the
+smallest of its racks. So a subtree's draw is exponential with the sum of the weights in it as its rate. A row
+descends from the root: at each level the child with the smallest draw wins, and the shard that gave its draw
+is the one that is reached. Shards get shares in proportion to their weights. A new shard, or one of more
+weight, only takes rows into itself, whether its rack and region are new or not; one of less weight only gives.
 
 Law ``key``: the id and the number of shards decide; equal ids always meet. A null id is hashed like
 any other value. Slots number the rows of a shard without gaps: rows are counted by (shard, bucket of
-the id), the counts (at most shards x ``BUCKETS`` rows, broadcast) are summed, and rows are numbered
+the id), the counts (at most shards x ``BUCKETS`` rows, broadcast up to ``FEW``) are summed, and rows are numbered
 inside their bucket by (id, crc32, size); equal rows share consecutive slots in any order. A null text
 counts as none: size 1, crc32 0. An empty table gives an empty result.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS, FEW = 1024, 1 << 18
 RACKS, LEAVES = 2, 2
 
 
@@ -32,51 +32,36 @@ def tree(shards: int) -> dict[int, dict[int, list[int]]]:
     return found
 
 
-def draw(key: Column, child: str, weight: int) -> Column:
-    """An exponential number of rate ``weight``, decided by key and child."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(child)), 11)
-    return -F.log((bits + F.lit(1)).cast("double") / F.lit(float(2**53))) / F.lit(float(weight))
+def draw(key: Column, shard: int, weight: float = 1.0) -> Column:
+    """An exponential number of rate ``weight``, decided by key and shard, and the shard."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard {shard}")), 11)
+    number = -F.log((bits + F.lit(1)).cast("double") / F.lit(float(2**53))) / F.lit(float(weight))
+    return F.struct(number.alias("draw"), F.lit(shard).alias("shard"))
 
 
-def descend(key: Column, children: dict[int, tuple[str, int]]) -> Column:
-    """The child with the smallest draw; ties to the smaller number."""
-    if len(children) == 1:
-        return F.lit(next(iter(children)))
-    return F.array_min(F.array(*[F.struct(draw(key, name, weight).alias("draw"), F.lit(c).alias("child")) for c, (name, weight) in children.items()]))["child"]
+def smallest(children: list[Column]) -> Column:
+    """The draw of a subtree; ties to the smaller shard."""
+    return F.array_min(F.array(*children)) if len(children) > 1 else children[0]
 
 
-def place(key: Column, shards: int) -> Column:
-    """The shard of a key among ``shards`` shards."""
-    regions = tree(shards)
+def place(key: Column, shards: int, weights: dict[int, float] | None = None) -> Column:
+    """The shard of a key among ``shards`` shards; a weight is 1 where none is given."""
+    weight = weights or {}
+    racks = lambda r: [smallest([draw(key, s, weight.get(s, 1.0)) for s in leaves]) for leaves in r.values()]
+    return smallest([smallest(racks(region)) for region in tree(shards).values()])["shard"].cast("int")
 
-    def in_rack(region, rack):
-        return descend(key, {s: (f"shard {s}", 1) for s in regions[region][rack]})
 
-    def in_region(region):
-        racks = regions[region]
-        chosen = descend(key, {k: (f"rack {region}.{k}", len(v)) for k, v in racks.items()})
-        out = None
-        for k in racks:
-            out = F.when(chosen == k, in_rack(region, k)) if out is None else out.when(chosen == k, in_rack(region, k))
-        return out
-
-    chosen = descend(key, {r: (f"region {r}", sum(map(len, racks.values()))) for r, racks in regions.items()})
-    out = None
-    for r in regions:
-        out = F.when(chosen == r, in_region(r)) if out is None else out.when(chosen == r, in_region(r))
-    return out.cast("int")
-
-
-def shard(docs: DataFrame, shards: int = 8, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, buckets: int = BUCKETS, weights: dict[int, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per row of ``docs``."""
     key = F.col("doc_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     bucket = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket")
-    rows = ids.select(key, (F.octet_length("text") + F.lit(1)).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), place(key, shards).alias("shard"), place(key, shards + 1).alias("grown_shard"), bucket)
-    counts = ids.select(place(key, shards).alias("shard"), bucket).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    rows = ids.select(key, (F.octet_length("text") + F.lit(1)).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), place(key, shards, weights).alias("shard"), place(key, shards + 1, weights).alias("grown_shard"), bucket)
+    counts = ids.select(place(key, shards, weights).alias("shard"), bucket).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
-    numbered = rows.withColumn("within", within.cast("long")).join(F.broadcast(firsts), ["shard", "bucket"])
+    small = F.broadcast(firsts) if shards * buckets <= FEW else firsts
+    numbered = rows.withColumn("within", within.cast("long")).join(small, ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("within") - 1).alias("slot"), "grown_shard")

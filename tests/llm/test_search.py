@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.fixtures import documents
 
 from lattica.llm import sharding, topk
@@ -35,9 +37,9 @@ def brute(rows, every, k):
 def test_top_k_equals_brute_force(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark).collect()]
     want = {q: v for q, v in brute(rows, 50, 5) if q != 0}
-    for block, group in ((8192, 2048), (60, 4)):
+    for block in (8192, 60):
         got = {}
-        for r in topk.top_k(table(spark), block=block, queries=group).collect():
+        for r in topk.top_k(table(spark).selectExpr("*", "1 as v", "2 as block", "3 as score"), block=block).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
         assert {q: [(s, i) for _, s, i in sorted(v)] for q, v in got.items() if q != 0} == want
         assert all(sorted(n for n, _, _ in v) == list(range(1, len(v) + 1)) for v in got.values())
@@ -65,10 +67,10 @@ def draw(key, child, weight):
 
 def place(key, shards):
     regions = sharding.tree(shards)
-    best = lambda names: min((draw(key, n, w), c) for c, (n, w) in names.items())[1]
-    r = best({r: (f"region {r}", sum(map(len, k.values()))) for r, k in regions.items()})
-    k = best({k: (f"rack {r}.{k}", len(v)) for k, v in regions[r].items()})
-    return best({s: (f"shard {s}", 1) for s in regions[r][k]})
+    drawn = {s: draw(key, f"shard {s}", 1) for s in range(shards)}
+    of_rack = lambda rack: min((drawn[s], s) for s in rack)
+    region = min(regions.values(), key=lambda racks: min(map(of_rack, racks.values())))
+    return of_rack(min(region.values(), key=of_rack))[1]
 
 
 def test_shards_equal_brute_force(spark):
@@ -96,6 +98,27 @@ def test_growth_moves_rows_into_the_new_shard_only(spark):
     assert abs(sum(r.grown_shard == 8 for r in rows) - 20000 / 9) < 200
 
 
+@pytest.mark.parametrize("shards", range(8, 16))
+def test_every_growth_moves_rows_into_the_new_shard_only(spark, shards):
+    ids = prepared(spark).range(4000).select(sharding.place(F.col("id"), shards).alias("a"), sharding.place(F.col("id"), shards + 1).alias("b")).collect()
+    assert all(r.b in (r.a, shards) for r in ids)
+    assert abs(sum(r.b == shards for r in ids) - 4000 / (shards + 1)) < 90
+
+
+def test_a_weight_changes_one_shard_only(spark):
+    key = F.col("id")
+    ids = prepared(spark).range(9000).select(sharding.place(key, 8).alias("a"), sharding.place(key, 8, {3: 2.0}).alias("b"), sharding.place(key, 8, {5: 0.5}).alias("c")).collect()
+    assert all(r.b in (r.a, 3) for r in ids) and all(r.c == r.a or r.a == 5 for r in ids)
+    assert abs(sum(r.b == 3 for r in ids) - 2000) < 150 and abs(sum(r.c == 5 for r in ids) - 600) < 90
+
+
+def test_slots_without_the_broadcast(spark, monkeypatch):
+    docs = documents(prepared(spark))
+    want = sorted(map(str, sharding.shard(docs).collect()))
+    monkeypatch.setattr(sharding, "FEW", 0)
+    assert sorted(map(str, sharding.shard(docs).collect())) == want
+
+
 def test_main_path_is_native(spark):
     plan = sharding.shard(documents(prepared(spark)))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
