@@ -5,10 +5,13 @@ chunks of 64 steps that overlap by half; a hidden layer looks at each chunk; its
 over all chunks of the text and combined into one probability. Byte filters, hidden layer and output
 are learned together by back propagation (Adam).
 
-Training runs on the driver over a bounded sample: at most ``ROWS`` labelled texts of each class and
-``CHUNKS`` chunks, evenly spaced, of each. Scoring covers every byte and needs no shuffle. Null and
-empty texts have no chunk and get the probability of the bias. Without labels of both classes the
-score is the smoothed share of label 1. Repeated rows get equal scores; empty tables give none.
+Training runs on the driver over a bounded sample: at most ``ROWS`` labelled texts of each class, whole.
+Only the chunks that win the pooling of a hidden unit pass a gradient back, so memory does not follow the
+length of a text there. Scoring covers every byte and needs no shuffle; filters run over ``BLOCK`` half chunks at
+a time, so that memory follows a few bytes for each byte of the longest text. Null and empty texts have no chunk
+and get the probability of the bias. Without labels of both classes the score is the smoothed share of label
+1. Repeated rows get equal scores; where an id repeats with different texts, the smallest text is trained
+on. Empty tables give no scores.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from lattica.llm import textops
 from lattica.llm.labelled import held_out, sample
 from lattica.llm.session import lean
 
-ROWS, LONGEST, CHUNKS = 1500, 60_000, 64
+ROWS, BLOCK = 1500, 4096
 WIDTH, STEP, HALF, FILTERS, HIDDEN = 8, 4, 32, 16, 12
 EPOCHS, STEPS, BATCH, RATE, DECAY = 10, 400, 48, 4e-3, 1e-4
 PAD = 256
@@ -53,16 +56,20 @@ class Net:
         return steps, halves, chunks
 
     @staticmethod
-    def windows(data: np.ndarray, offs: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        """The bytes under each step of each text, ``PAD`` after its end."""
+    def spaced(data: np.ndarray, offs: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts, ``PAD`` after the end of each, and where the first step of each text begins."""
         room = steps * STEP + (WIDTH - STEP)
         place = np.cumsum(room) - room
         text = np.full(int(room.sum()), PAD, np.int16)
-        size = np.diff(offs)
         if len(data):
-            text[np.arange(len(data)) + np.repeat(place - offs[:-1], size)] = data
-        first = np.repeat(place - STEP * (np.cumsum(steps) - steps), steps) + STEP * np.arange(int(steps.sum()))
-        return text[first[:, None] + np.arange(WIDTH)]
+            text[np.arange(len(data)) + np.repeat(place - offs[:-1], np.diff(offs))] = data
+        return text, place
+
+    @staticmethod
+    def under(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bytes under each step of half chunks that begin at these bytes and have so many steps."""
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return text[(np.repeat(begin, size) + STEP * step)[:, None] + np.arange(WIDTH)]
 
     def responses(self, under: np.ndarray) -> np.ndarray:
         total = np.take(self.filters[0], under[:, 0], axis=0)
@@ -72,12 +79,11 @@ class Net:
         return np.maximum(total, 0, out=total)
 
     @staticmethod
-    def halving(steps: np.ndarray, halves: np.ndarray):
-        """First step and number of steps of each half chunk."""
+    def halving(steps: np.ndarray, halves: np.ndarray, place: np.ndarray):
+        """The first byte and the number of steps of each half chunk."""
         owner = np.repeat(np.arange(len(steps)), halves)
         rank = np.arange(int(halves.sum())) - np.repeat(np.cumsum(halves) - halves, halves)
-        first = (np.cumsum(steps) - steps)[owner] + HALF * rank
-        return first, np.minimum(HALF, steps[owner] - HALF * rank)
+        return place[owner] + HALF * STEP * rank, np.minimum(HALF, steps[owner] - HALF * rank)
 
     @staticmethod
     def pairing(halves: np.ndarray, chunks: np.ndarray):
@@ -92,27 +98,29 @@ class Net:
         n = len(steps)
         if not steps.sum():
             return np.full(n, self.bias[0] + self.shift), None
-        under = self.windows(data, offs, steps)
-        act = self.responses(under)
-        first, size = self.halving(steps, halves)
-        sums = np.add.reduceat(act, first, axis=0)
+        text, place = self.spaced(data, offs, steps)
+        begin, size = self.halving(steps, halves, place)
+        sums = np.empty((len(size), FILTERS), self.filters.dtype)
+        for lo in range(0, len(size), BLOCK):
+            some = size[lo : lo + BLOCK]
+            sums[lo : lo + BLOCK] = np.add.reduceat(self.responses(self.under(text, begin[lo : lo + BLOCK], some)), np.cumsum(some) - some, axis=0)
         left, right, owner = self.pairing(halves, chunks)
         two = (right > left)[:, None]
         weight = 1.0 / (size[left] + np.where(right > left, size[right], 0)).astype(np.float32)[:, None]
         mean = (sums[left] + np.where(two, sums[right], 0)) * weight
         unit = np.maximum(mean @ self.hidden + self.base, 0)
         some = np.flatnonzero(chunks)
-        begin = (np.cumsum(chunks) - chunks)[some]
+        opens = (np.cumsum(chunks) - chunks)[some]
         pooled = np.zeros((n, HIDDEN), unit.dtype)
-        pooled[some] = np.maximum.reduceat(unit, begin, axis=0)
+        pooled[some] = np.maximum.reduceat(unit, opens, axis=0)
         logit = pooled @ self.out + self.bias[0] + self.shift
-        return logit, (under, act, size, left, right, owner, weight, mean, unit, pooled)
+        return logit, (text, begin, size, left, right, owner, weight, mean, unit, pooled)
 
     def gradients(self, data, offs, y, weight_of):
         logit, kept = self.forward(data, offs)
         p = 1 / (1 + np.exp(-logit))
         push = ((p - y) * weight_of / len(y)).astype(np.float32)
-        under, act, size, left, right, owner, weight, mean, unit, pooled = kept
+        text, begin, size, left, right, owner, weight, mean, unit, pooled = kept
         grads = {"bias": push.sum(keepdims=True), "out": pooled.T @ push}
         back = push[:, None] * self.out
         top = (unit == pooled[owner]) & (unit > 0)
@@ -125,8 +133,10 @@ class Net:
         np.add.at(d_sums, left, d_mean)
         two = right > left
         np.add.at(d_sums, right[two], d_mean[two])
-        d_act = np.repeat(d_sums, size, axis=0)
-        d_act[act <= 0] = 0
+        won = np.flatnonzero(d_sums.any(1))
+        under = self.under(text, begin[won], size[won])
+        d_act = np.repeat(d_sums[won], size[won], axis=0)
+        d_act[self.responses(under) <= 0] = 0
         grads["lift"] = d_act.sum(0)
         grads["filters"] = g = np.zeros_like(self.filters)
         for k in range(WIDTH):
@@ -137,15 +147,6 @@ class Net:
         return grads, float(-(np.log(np.where(y > 0, p, 1 - p) + 1e-9) * weight_of).mean())
 
 
-def _pieces(text: str) -> bytes:
-    """A text for training: whole, or ``CHUNKS`` evenly spaced chunks of it."""
-    raw, size = text.encode(), 2 * HALF * STEP
-    if len(raw) <= CHUNKS * size:
-        return raw
-    starts = np.linspace(0, len(raw) - size, CHUNKS).astype(int)
-    return b"".join(raw[s : s + size] for s in starts)
-
-
 def train(texts: list[str], y: list[int], share: float, seed: int = 7, epochs: int = EPOCHS) -> Net:
     """Fit the network; ``share`` of label 1 sets the bias back to the labels' own proportions."""
     net, rng = Net(seed), np.random.default_rng(seed)
@@ -155,7 +156,7 @@ def train(texts: list[str], y: list[int], share: float, seed: int = 7, epochs: i
         net.out[:] = 0
         net.shift = float(np.log(share / (1 - share)))
         return net
-    raws = [np.frombuffer(_pieces(t), np.uint8) for t in texts]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     even = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y == 0).mean())
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.params().items()}
     a_round = -(-len(raws) // BATCH)
@@ -183,7 +184,7 @@ def train(texts: list[str], y: list[int], share: float, seed: int = 7, epochs: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label: str = "quality") -> Net:
-    return train(*sample(docs, labels, label, rows, LONGEST))
+    return train(*sample(docs, labels, label, rows))
 
 
 def scored(docs: DataFrame, net: Net, name: str = "score", text_col: str = "text") -> DataFrame:

@@ -241,7 +241,7 @@ def test_no_labels_and_no_documents(spark, labels):
 
 def test_sample_is_bounded_and_leaves_held_out_rows(labels):
     docs, marks, known = labels
-    found, y, share = labelled.sample(docs, marks, "toxic", 30, 10_000)
+    found, y, share = labelled.sample(docs, marks, "toxic", 30)
     assert len(found) == len(y) <= 60 and 0 < share < 1
     train = {t for i, t, _ in docs.collect() if i is not None and not held(i)}
     assert set(found) <= train
@@ -271,15 +271,63 @@ def test_subsequence_kernel_equals_brute_force():
     assert np.allclose(got, want, rtol=1e-4, atol=1e-6)
 
 
-def test_units_cover_spaced_letters_and_long_words():
-    data, offs = textops.packed(pa.array(["you i d i o t now", "x" * 60]))
-    starts, ends, text = toxicity.unit_spans(data, offs)
-    units = {data[a:b].tobytes() for a, b, t in zip(starts, ends, text, strict=True) if t == 0}
-    assert b"i d i o t" in units
-    covered = np.zeros(60, bool)
-    for a, b in [(a - offs[1], b - offs[1]) for a, b, t in zip(starts, ends, text, strict=True) if t == 1]:
-        covered[a:b] = True
-    assert covered.all() and (ends - starts).max() <= toxicity.SPAN
+def units_of(rows):
+    data, offs = textops.packed(pa.array(rows))
+    units, sizes, starts, text = toxicity.unit_rows(textops.LOWER[data], offs)
+    assert all((u[n:] == 0).all() and (u[:n] > 0).all() for u, n in zip(units, sizes, strict=True))
+    return [{units[i, : sizes[i]].tobytes() for i in np.flatnonzero(text == t)} for t in range(len(rows))]
+
+
+def test_units_drop_signs_join_letters_and_cover_long_words():
+    spaced, signs, long, none = units_of(["you I d - i o t. now", "I.D.I.O.T !!! a b é-x id*iot###", "abcdefghij" * 6, "12 ... | "])
+    assert spaced == {b"\1you\2", b"\1i\2", b"\1d\2", b"\1o\2", b"\1t\2", b"\1idiot\2", b"\1now\2"}
+    assert signs == {b"\1idiot\2", b"\1a\2", b"\1b\2", "\1éx\2".encode()}
+    assert max(map(len, long)) <= toxicity.SPAN and none == set()
+    assert all(any((b"abcdefghij" * 6)[i : i + 8] in x for x in long) for i in range(52))
+
+
+def test_insults_with_signs_gaps_and_letters_inserted():
+    rng = random.Random(3)
+    texts_, marks = [], []
+    for i in range(240):
+        words = prose(rng, 60).split(" ")
+        if i % 4 == 0:
+            words[rng.randrange(60)] = rng.choice(["grunthog", "wexfooler"])
+        texts_.append(" ".join(words))
+        marks.append(int(i % 4 == 0))
+    machine = toxicity.train(texts_, marks, 0.25)
+    score = lambda rows: machine.probability(toxicity.strongest(machine, *toxicity._stacked(rows)))
+    plain = prose(rng, 30)
+    for w in ("grunthog", "wexfooler"):
+        forms = [w, w.upper(), w + "###", ".".join(w), "-".join(w), " ".join(w), w[:3] + "*" + w[3:], w[:4] + "x" + w[4:], w[:2] + w[1] * 2 + w[2:], w[:5] + "-" + w[5:]]
+        assert (score([f"{plain} {v} {plain}" for v in forms]) >= 0.5).all()
+    clean = [prose(rng, 200) for _ in range(20)] + ["".join(rng.choice(["ka", "lo", "mi", "ren", "tas", "vol"]) for _ in range(12)) for _ in range(50)] + ["g r o w", "fool", ""]
+    assert (score(clean) < 0.5).mean() > 0.98
+
+
+def test_the_score_equals_brute_force():
+    rng = random.Random(4)
+    rows = [prose(rng, 40) + (" grunthog" if i % 3 == 0 else "") for i in range(60)]
+    machine = toxicity.train(rows, [int(i % 3 == 0) for i in range(60)], 0.3)
+    marks = [m[:n].tobytes() for m, n in zip(machine.landmarks, machine.lengths, strict=True)]
+
+    def answer(unit, mark):
+        several = len({c & 63 for c in mark})
+        if len({c & 63 for c in mark} & {c & 63 for c in unit}) < min(int(np.ceil(toxicity.LETTERS * several)), several - 1):
+            return 0.0
+        return min(kernel(unit, mark) / kernel(mark, mark), 1.2) ** toxicity.POWER
+
+    def plain(text):
+        best = machine.decide(np.zeros((1, len(marks))))[0]
+        for sentence in re.split(r"(?<=[.!?])\s|\n", text):
+            units = units_of([sentence])[0]
+            features = np.array([[max((answer(u, m) for u in units), default=0.0) for m in marks]])
+            best = max(best, machine.decide(features)[0]) if features.any() else best
+        return best
+
+    some = [rows[0], rows[1], "Grunt-hog ka. lo grxunthog\nvol", "", "a b"]
+    got = toxicity.strongest(machine, *toxicity._stacked(some))
+    assert np.allclose(got, [plain(t) for t in some], atol=1e-3)
 
 
 def test_network_gradients():
@@ -308,6 +356,33 @@ def test_network_gradients():
         assert abs((up - down) / 2e-3 - grads[name][at]) < 2e-2 * max(1, abs(grads[name][at]))
 
 
+def test_the_network_equals_brute_force():
+    net = quality.Net(5)
+    rows = ["", "a", "short text", "x" * 127, "y" * 128, "z" * 129, " ".join(prose(random.Random(9), 400) for _ in range(3))]
+
+    def plain(text):
+        raw = [*text.encode()]
+        acts = []
+        for at in range(0, len(raw), quality.STEP):
+            under = [raw[at + k] if at + k < len(raw) else quality.PAD for k in range(quality.WIDTH)]
+            acts.append(np.maximum(sum(net.filters[k, c] for k, c in enumerate(under)) + net.lift, 0))
+        halves = [acts[i : i + quality.HALF] for i in range(0, len(acts), quality.HALF)]
+        chunks = [a + b for a, b in zip(halves, halves[1:], strict=False)] or halves
+        units = [np.maximum(np.mean(c, 0) @ net.hidden + net.base, 0) for c in chunks]
+        return (np.max(units, 0) if units else np.zeros(quality.HIDDEN)) @ net.out + net.bias[0] + net.shift
+
+    got = net.forward(*textops.packed(pa.array(rows)))[0]
+    assert np.allclose(got, [plain(t) for t in rows], atol=1e-3)
+
+
+def test_blocks_change_no_score(monkeypatch):
+    net = quality.Net(3)
+    rows = [t for _, t in texts(2)]
+    want = net.forward(*textops.packed(pa.array(rows)))[0]
+    monkeypatch.setattr(quality, "BLOCK", 3)
+    assert np.allclose(net.forward(*textops.packed(pa.array(rows)))[0], want, atol=1e-5)
+
+
 def test_scores_do_not_depend_on_the_batch():
     net = quality.Net(3)
     rows = [t for _, t in texts(2) if t is not None]
