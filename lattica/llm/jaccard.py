@@ -12,9 +12,12 @@ similarity of their sets is at least num/den. Steps, none of which lists all pai
    lists of one class together count common prefix shingles, and pairs with at least T' stay. Members
    of longer lists are only chained, in order of size. Both give blocks: every linked pair lies in
    one block.
-4. In each block the search is exact, by DivideSkip: the T-1 longest lists of a query are set aside,
-   the short ones heap-merged, and what can still reach the needed overlap is probed in the long ones
-   by binary search. Blocks over ``SUB`` classes are split into pairs of sub-blocks.
+4. In each block the search is exact, by DivideSkip. Of a query's inverted lists the L = T / (``MU`` log2 M + 1)
+   longest are set aside (M: length of the longest). The heads of the others stand in a heap; a member on
+   T - L of them is probed in the long lists by binary search; otherwise the T - L - 1 smallest heads are popped,
+   and their lists jump by binary search to the head that is then smallest. The last members that were taken
+   are searched first, for a link to one of them often closes all others. Blocks over ``SUB`` classes are
+   split into pairs of sub-blocks.
 5. Components of the links found; component_id is the smallest doc_id in them.
 
 Links lost: none, but for collisions of 64-bit hashes. Null and empty texts, and texts without words,
@@ -25,21 +28,24 @@ part and gets a null component. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lattica.llm import textops
-from lattica.llm.graph import Forest, components
+from lattica.llm.flat import spread
+from lattica.llm.graph import components
 from lattica.llm.session import lean, unused
 
 CELLS, RANGES, SHORT, SUB, SUB_SIZE, SALTS = 1 << 22, 64, 64, 256, 1 << 20, 16
+MU, RECENT, BRANCH = 0.01, 2, 256
 
 
 def need(nx, ny, num: int, den: int):
@@ -66,38 +72,54 @@ def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
     """Marks of ``cells`` cells from counts over all rows.
 
     ``make(batch)`` gives arrays of uint64 values; ``marked(counts)`` the marks of a range of cells.
-    Every task sends its counters compressed by range; each range is summed in one group, and only
-    marks, ``cells`` / 8 bytes, come to the driver.
+    Every task sends its counters compressed by range. They are added up one by one as they stream by, first in
+    ``BRANCH`` branches a range, then the branches, so that no task gathers them; only marks, ``cells`` / 8
+    bytes, come to the driver.
     """
     wide = cells // RANGES
+    schema = "range int, branch int, counts binary"
 
     def count(batches):
         table = np.zeros(cells, np.uint16)
         seen = False
         for batch in batches:
             for array in make(batch):
+                if not len(array):
+                    continue
                 seen = True
-                got = np.bincount((array & textops.U(cells - 1)).astype(np.int64), minlength=cells) if len(array) > cells // 64 else None
-                if got is not None:
-                    table[:] = np.minimum(table + got, 65535)
-                else:
-                    cell, n = np.unique(array & textops.U(cells - 1), return_counts=True)
-                    cell = cell.astype(np.int64)
-                    table[cell] = np.minimum(table[cell] + n, 65535)
+                cell, n = np.unique((array & textops.U(cells - 1)).astype(np.int64), return_counts=True)
+                table[cell] = np.minimum(table[cell] + n, 65535)
         if seen:
-            rows = [zlib.compress(table[r * wide : (r + 1) * wide].tobytes(), 1) for r in range(RANGES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(rows, pa.binary())], ["range", "counts"])
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(wide, np.int64)
-        for raw in pdf["counts"]:
-            counts += np.frombuffer(zlib.decompress(raw), np.uint16)
-        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "marks": [np.packbits(marked(counts)).tobytes()]})
-
-    sums = values.mapInArrow(lean(count), "range int, counts binary").groupBy("range").applyInPandas(total, "range int, marks binary")
+            branch = np.full(RANGES, TaskContext.get().partitionId() % BRANCH, np.int32)
+            rows = [zlib.compress(table[r * wide : (r + 1) * wide].astype(np.int64).tobytes(), 1) for r in range(RANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(branch), pa.array(rows, pa.binary())], ["range", "branch", "counts"])
+
+    def added(last: bool):
+        def run(batches):
+            now, counts = None, np.zeros(wide, np.int64)
+
+            def row():
+                raw = np.packbits(marked(counts)).tobytes() if last else zlib.compress(counts.tobytes(), 1)
+                return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([raw], pa.binary())], ["range", "branch", "counts"])
+
+            for batch in batches:
+                for key, branch, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    place = (key, -1 if last else branch)
+                    if now not in (None, place):
+                        yield row()
+                        counts = np.zeros(wide, np.int64)
+                    now = place
+                    counts += np.frombuffer(zlib.decompress(raw), np.int64)
+            if now is not None:
+                yield row()
+
+        return lean(run)
+
+    parts = values.mapInArrow(lean(count), schema).repartition("range", "branch").sortWithinPartitions("range", "branch").mapInArrow(added(False), schema)
+    sums = parts.repartition("range").sortWithinPartitions("range").mapInArrow(added(True), schema)
     out = np.zeros(cells // 8, np.uint8)
     for row in sums.collect():
-        out[row["range"] * wide // 8 : (row["range"] + 1) * wide // 8] = np.frombuffer(row["marks"], np.uint8)
+        out[row["range"] * wide // 8 : (row["range"] + 1) * wide // 8] = np.frombuffer(row["counts"], np.uint8)
     return out
 
 
@@ -112,96 +134,87 @@ def common(counts: np.ndarray) -> np.ndarray:
     return counts > mean + 6 * np.sqrt(mean) + SHORT // 2
 
 
-def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
-    """Members of ``lists`` (each ascending) and on how many of them they are; members on fewer than
-    ``least`` lists may be missing."""
+def divide_skip(lists: list[list[int]], least: int, mu: float = MU) -> dict[int, int]:
+    """Members that are on at least ``least`` of ``lists`` (each ascending), and on how many of them."""
     lists = sorted((x for x in lists if x), key=len)
-    aside = min(len(lists), least - 1)
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     found: dict[int, int] = {}
-    last, n = -1, 0
-    for member in heapq.merge(*short):
-        if member == last:
-            n += 1
-            continue
-        if n and n + aside >= least:
-            found[last] = n
-        last, n = member, 1
-    if n and n + aside >= least:
-        found[last] = n
-    for member, n in list(found.items()):
-        left = aside
-        for one in long:
-            at = bisect_left(one, member)
-            n += at < len(one) and one[at] == member
-            left -= 1
-            if n + left < least:
-                break
-        found[member] = n
+    if len(lists) < least:
+        return found
+    aside = min(int(least / (mu * math.log2(len(lists[-1]) + 1) + 1)), least - 1)
+    short, long, enough = lists[: len(lists) - aside], lists[len(lists) - aside :], least - aside
+    at = [0] * len(short)
+    heap = [(x[0], j) for j, x in enumerate(short)]
+    heapq.heapify(heap)
+    while len(heap) >= enough:
+        member, popped = heap[0][0], []
+        while heap and heap[0][0] == member:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= enough:
+            n, left = len(popped), aside
+            for one in long:
+                k = bisect_left(one, member)
+                n += k < len(one) and one[k] == member
+                left -= 1
+                if n + left < least:
+                    break
+            if n >= least:
+                found[member] = n
+            goal = member + 1
+        else:
+            while heap and len(popped) < enough - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                break  # no member can be on so many of the lists that are left
+            goal = heap[0][0]
+        for j in popped:
+            at[j] = k = bisect_left(short[j], goal, at[j])
+            if k < len(short[j]):
+                heapq.heappush(heap, (short[j][k], j))
     return found
 
 
-def probe(a: np.ndarray, b: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets, by binary search of the smaller in the larger."""
-    if len(a) < len(b):
-        a, b = b, a
-    at = np.searchsorted(a, b)
-    return int((a[np.minimum(at, len(a) - 1)] == b).sum())
-
-
 def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect all linked sets of one block. Where ``sides`` holds two values, pairs of one
     side are left out (another task has them)."""
     sizes = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        return [(0, 1)] if probe(*sets) >= need(int(sizes[0]), int(sizes[1]), num, den) else []
     order = np.argsort(sizes, kind="stable")
+    sizes, side = sizes[order], sides[order]
     tokens = np.concatenate([sets[i] for i in order])
-    rank = np.repeat(np.arange(len(order)), sizes[order])
     _, token = np.unique(tokens, return_inverse=True)
     by = np.argsort(token, kind="stable")  # members of each list ascend
-    member, begin = rank[by], np.searchsorted(token[by], np.arange(token.max() + 2))
-    cuts = np.concatenate([[0], np.cumsum(sizes[order])])
-    forest, links = Forest(len(order)), []
-    root = np.arange(len(order))
-    two = len(np.unique(sides)) > 1
-    side = sides[order]
-    recent: dict[int, list[int]] = {int(k): [] if k == side[0] and two else [0] for k in np.unique(sides)}
-
-    def merge(x: int, y: int) -> None:
-        if forest.join(x, y):
-            links.append((int(order[x]), int(order[y])))
-            root[(root == root[x]) | (root == root[y])] = forest.find(x)
-
-    for x in range(1, len(order)):
-        n = int(sizes[order[x]])
-        floor = -(-num * n // den)
-        open_ = root[:x] != root[x]
+    member, begin = np.repeat(np.arange(len(order)), sizes)[by], np.searchsorted(token[by], np.arange(token.max() + 2))
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    links, root = [], np.arange(len(order))
+    two = len(np.unique(side)) > 1
+    recent: dict[int, list[int]] = {int(k): [] for k in np.unique(side)}
+
+    def lists_of(x: int, allowed: np.ndarray) -> list[list[int]]:
+        t = token[cuts[x] : cuts[x + 1]]
+        size = begin[t + 1] - begin[t]
+        there = member[spread(begin[t], size)]
+        on = allowed[there]
+        owner, there = np.repeat(np.arange(len(t)), size)[on], there[on]
+        cut, flat = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)], there.tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    for x in range(len(order)):
+        n = int(sizes[x])
+        least = -(-num * n // den)  # the smallest overlap with any set that is not larger
+        open_ = np.zeros(len(order), bool)
+        open_[np.searchsorted(sizes[:x], least) : x] = True
         if two:
-            open_ &= side[:x] != side[x]
-        open_[: np.searchsorted(sizes[order[:x]], floor)] = False
-        for y in recent[int(side[x])] if open_.any() else ():  # one of these often links: no search then
-            if open_[y] and probe(sets[order[x]], sets[order[y]]) >= need(n, int(sizes[order[y]]), num, den):
-                merge(x, y)
-                open_ &= root[:x] != root[x]
-        for k in recent:
-            if not two or k != side[x]:
-                recent[k] = [x, *recent[k][:7]]
-        if not open_.any():
-            continue
-        lists = []
-        for t in token[cuts[x] : cuts[x + 1]]:
-            one = member[begin[t] : begin[t + 1]]
-            one = one[: np.searchsorted(one, x)]
-            if len(one):
-                one = one[open_[one]]
-                if len(one):
-                    lists.append(one.tolist())
-        if len(lists) < floor:
-            continue
-        for y, count in divide_skip(lists, floor).items():
-            if count >= need(n, int(sizes[order[y]]), num, den):
-                merge(x, y)
+            open_ &= side != side[x]
+        first = np.zeros(len(order), bool)
+        first[[y for k, ys in recent.items() if not two or k != side[x] for y in ys]] = True
+        for part in (first, ~first):
+            allowed = open_ & part & (root != root[x])
+            lists = lists_of(x, allowed) if allowed.any() else []
+            for y, shared in divide_skip(lists, least).items():
+                if root[x] != root[y] and shared >= need(n, int(sizes[y]), num, den):
+                    links.append((int(order[x]), int(order[y])))
+                    root[root == root[x]] = root[y]
+        own = recent[int(side[x])]
+        own[:] = [x, *own[: RECENT - 1]]
     return links
 
 
@@ -268,55 +281,48 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], ["token", "cls", "n"])
 
     def meet(batches):
-        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.concat_tables(parts)
-        token, cls, size = (table[c].to_numpy() for c in ("token", "cls", "n"))
-        order = np.lexsort((cls, size, token))
-        token, cls, size = token[order], cls[order], size[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, size = token[new], cls[new], size[new]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        length = np.diff(np.concatenate([starts, [len(token)]]))
-        long = np.flatnonzero(np.repeat(length > SHORT, length))
-        chained = long[1:][(token[long[1:]] == token[long[1:] - 1]) & (size[long[1:]].astype(np.int64) * num <= size[long[1:] - 1].astype(np.int64) * den)]
-        left, right = [cls[chained - 1]], [cls[chained]]
-        edges = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(np.zeros(len(edges), np.int64)), pa.array([e.tobytes() for e in edges[:, 0]], pa.binary()), pa.nulls(len(edges), pa.binary())], ["cls", "n", "others", "sizes"])
-        short = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
-        begin = np.repeat(starts, length)[short]
-        size = size.astype(np.int64)
-        for lo in range(0, len(short), 1 << 16):
-            rows = []
-            for at, first in zip(short[lo : lo + (1 << 16)].tolist(), begin[lo : lo + (1 << 16)].tolist(), strict=True):
-                first += int(np.searchsorted(size[first:at], -(-size[at] * num // den)))
-                if first < at:
-                    rows.append((cls[at], size[at], cls[first:at].tobytes(), size[first:at].tobytes()))
-            if rows:
-                c, n, others, sizes = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c)), pa.array(np.array(n)), pa.array(others, pa.binary()), pa.array(sizes, pa.binary())], ["cls", "n", "others", "sizes"])
+        """Inverted lists, each in order of size: links of the chained, and what members of short ones have before them."""
+        for table in textops.whole(batches, ["token"]):
+            token, size, cls = (table[c].to_numpy() for c in ("token", "n", "cls"))
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+            token, cls, size = token[new], cls[new], size[new]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            length = np.diff(np.concatenate([starts, [len(token)]]))
+            long = np.flatnonzero(np.repeat(length > SHORT, length))
+            chained = long[1:][(token[long[1:]] == token[long[1:] - 1]) & (size[long[1:]].astype(np.int64) * num <= size[long[1:] - 1].astype(np.int64) * den)]
+            if len(chained):
+                edges = np.unique(np.stack([cls[chained - 1], cls[chained]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(np.zeros(len(edges), np.int64)), pa.array([e.tobytes() for e in edges[:, 0]], pa.binary()), pa.nulls(len(edges), pa.binary())], ["cls", "n", "others", "sizes"])
+            short = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
+            begin = np.repeat(starts, length)[short]
+            size = size.astype(np.int64)
+            for lo in range(0, len(short), 1 << 16):
+                rows = []
+                for at, first in zip(short[lo : lo + (1 << 16)].tolist(), begin[lo : lo + (1 << 16)].tolist(), strict=True):
+                    first += int(np.searchsorted(size[first:at], -(-size[at] * num // den)))
+                    if first < at:
+                        rows.append((cls[at], size[at], cls[first:at].tobytes(), size[first:at].tobytes()))
+                if rows:
+                    c, n, others, sizes = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(c)), pa.array(np.array(n)), pa.array(others, pa.binary()), pa.array(sizes, pa.binary())], ["cls", "n", "others", "sizes"])
 
     def enough(batches):
         """Pairs with at least T' common prefix shingles, and all chained ones."""
-        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.concat_tables(parts)
-        others = table["others"].to_pylist()
-        times = np.array([len(o) // 8 for o in others])
-        y = np.frombuffer(b"".join(others), np.int64)
-        x, nx = np.repeat(table["cls"].to_numpy(), times), np.repeat(table["n"].to_numpy(), times)
-        ny = np.zeros(len(y), np.int64)
-        ny[nx > 0] = np.frombuffer(b"".join([o for o in table["sizes"].to_pylist() if o]), np.int64)
-        pairs, shared = np.unique(np.stack([x, y, nx, ny], 1), axis=0, return_counts=True)
-        x, y, nx, ny = pairs.T
-        on = (nx == 0) | (shared >= need(nx, ny, num, den) - -(-nx * num // den) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[on])), pa.array(np.ascontiguousarray(y[on]))], ["a", "b"])
-
-    postings = docs.mapInArrow(lean(post), "token long, cls long, n int").repartition("token")
-    near = postings.mapInArrow(lean(meet), "cls long, n long, others binary, sizes binary").repartition("cls").mapInArrow(lean(enough), "a long, b long")
+        for table in textops.whole(batches, ["cls"]):
+            others = table["others"].to_pylist()
+            times = np.array([len(o) // 8 for o in others])
+            y = np.frombuffer(b"".join(others), np.int64)
+            x, nx = np.repeat(table["cls"].to_numpy(), times), np.repeat(table["n"].to_numpy(), times)
+            ny = np.zeros(len(y), np.int64)
+            ny[nx > 0] = np.frombuffer(b"".join([o for o in table["sizes"].to_pylist() if o]), np.int64)
+            pairs, shared = np.unique(np.stack([x, y, nx, ny], 1), axis=0, return_counts=True)
+            x, y, nx, ny = pairs.T
+            on = (nx == 0) | (shared >= need(nx, ny, num, den) - -(-nx * num // den) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[on])), pa.array(np.ascontiguousarray(y[on]))], ["a", "b"])
+
+    postings = docs.mapInArrow(lean(post), "token long, cls long, n int").repartition("token").sortWithinPartitions("token", "n", "cls")
+    near = postings.mapInArrow(lean(meet), "cls long, n long, others binary, sizes binary").repartition("cls").sortWithinPartitions("cls").mapInArrow(lean(enough), "a long, b long")
 
     def rep_sets(batch: pa.RecordBatch):
         for ids, sets in _sets(batch, words):

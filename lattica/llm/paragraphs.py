@@ -4,13 +4,16 @@ Paragraphs are lines of at least ``LINE`` words. Whole texts, lines or not, are
 that the content picks: a word whose three-word hash is the smallest among ``RADIUS`` words on each side, where
 starts of sentences (after . ! ? before white space) come before all others. Equal runs of words are cut
 alike but near their ends, so a passage is found whatever stands around it, with or without sentences or
-the same line breaks, and an edit costs the parts around it. Inside a sentence up to some 7 words at each end of a
+the same line breaks, and an edit costs the parts around it: a passage of 60 words with one
+word changed is 0.83 similar and found, with a word changed in every twelve it is not similar at all (0.4). Inside a sentence up to some 7 words at each end of a
 passage are not told apart from what surrounds it and stay.
 
 1. Every task sums equal paragraphs and parts before anything is shuffled: count and first place.
-2. Distinct lines get ``BANDS`` keys of ``ROWS`` MinHash values over their sets of five-word shingles. At
-   Jaccard 0.8 two lines collide with probability 1 - (1 - 0.8^4)^16 > 0.999. Colliding lines form
-   blocks; inside a block links are verified by exact Jaccard similarity.
+2. Distinct lines get ``BANDS`` keys of ``ROWS`` MinHash values over their sets of five-word shingles. Both are
+   tuned: the most rows a band, so the fewest chance collisions, with which two lines at Jaccard 0.8 still
+   collide with probability ``RECALL`` and ``HASHES`` values are enough. Lines that are neighbours in a bucket are
+   joined; what is joined, directly or not, forms blocks, and inside a block links are verified by exact
+   Jaccard similarity.
 3. Lines are clustered by components of verified links. In each cluster the first occurrence, by
    (doc_id, text, place), stays and all others go. Equal parts go likewise, where the repeated parts of a text
    that lie together (gaps of at most ``GAP`` words) have at least ``RUN`` words in all; so short parts
@@ -24,6 +27,8 @@ are. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +40,21 @@ from lattica.llm.graph import components
 from lattica.llm.session import lean, unused
 
 LINE, RADIUS, GAP, RUN = 20, 3, 12, 25
-BANDS, ROWS, WORDS = 16, 4, 5
+RECALL, HASHES, WORDS = 0.999, 64, 5
 NUM, DEN = 80, 100
+
+
+def tuned(similarity: float, recall: float, hashes: int) -> tuple[int, int]:
+    """(bands, rows): the most rows for which ``recall`` is reached at ``similarity`` with so many hashes."""
+    best = (hashes, 1)
+    for rows in range(1, hashes + 1):
+        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+        if bands * rows <= hashes:
+            best = (bands, rows)
+    return best
+
+
+BANDS, ROWS = tuned(NUM / DEN, RECALL, HASHES)
 _STOP = np.isin(np.arange(256), list(b".!?"))
 _MULTIPLIERS = textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=textops.U) * textops.U(0xE7037ED1A0B428DB)) | textops.U(1)
 
@@ -139,7 +157,7 @@ def text_keys(part: pa.RecordBatch) -> np.ndarray:
 
 
 def distinct_units(docs: DataFrame) -> DataFrame:
-    """(cls, line, count, first, n, bands): a row per distinct line and part."""
+    """(cls, line, count, first, n, bands): a row per distinct line, and per part that is found again."""
 
     def run(batches):
         for part, units in _batches(batches):
@@ -153,17 +171,28 @@ def distinct_units(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((place, texts[row], ids[row], keys))
                 at = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])]
                 count = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])), [len(keys)]]))
-                first = pa.StructArray.from_arrays([pa.array(ids[row[at]]), pa.array(texts[row[at]]), pa.array(place[at])], ["doc", "txt", "place"])
                 size = ranges[1, at] - ranges[0, at]
                 bands = pa.array([b.tobytes() for b in units.bands(ranges[:, at])], pa.binary()) if is_line else pa.nulls(len(at), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(np.full(len(at), is_line)), pa.array(count), first, pa.array(size), bands], ["cls", "line", "count", "first", "n", "bands"])
+                cols = [keys[at], np.full(len(at), is_line), count, ids[row[at]], texts[row[at]], place[at], size]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), bands], names)
+
+    def merged(batches):
+        """One row a unit: the rows of each come together, the first place before the others."""
+        for table in textops.whole(batches, ["cls"]):
+            first = np.flatnonzero(textops.changes(table, ["cls"]))
+            total = np.add.reduceat(table["count"].to_numpy(), first)
+            wanted = table["line"].to_numpy()[first] | (total > 1)
+            rows = table.take(pa.array(first[wanted]))
+            yield from rows.set_column(names.index("count"), "count", pa.array(total[wanted])).combine_chunks().to_batches()
 
-    rows = docs.mapInArrow(lean(run), "cls long, line boolean, count long, first struct<doc: long, txt: long, place: long>, n long, bands binary")
-    return rows.groupBy("cls").agg(F.first("line").alias("line"), F.sum("count").alias("count"), F.min("first").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    names = ["cls", "line", "count", "doc", "txt", "place", "n", "bands"]
+    schema = "cls long, line boolean, count long, doc long, txt long, place long, n long, bands binary"
+    rows = docs.mapInArrow(lean(run), schema).repartition("cls").sortWithinPartitions("cls", "doc", "txt", "place")
+    return rows.mapInArrow(lean(merged), schema).select("cls", "line", "count", F.struct("doc", "txt", "place").alias("first"), "n", "bands")
 
 
 def colliding(lines: DataFrame) -> DataFrame:
-    """(a, b): each line of a band's bucket with the smallest one there."""
+    """(a, b): each line of a band's bucket with the one before it there."""
 
     def spread(batches):
         for batch in batches:
@@ -174,16 +203,13 @@ def colliding(lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls, BANDS))], ["key", "cls"])
 
     def meet(batches):
-        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if parts:
-            table = pa.concat_tables(parts)
+        for table in textops.whole(batches, ["key"]):
             key, cls = table["key"].to_numpy(), table["cls"].to_numpy()
-            order = np.lexsort((cls, key))
-            key, cls = key[order], cls[order]
-            same = key[1:] == key[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[1:][same]), pa.array(cls[:-1][same])], ["a", "b"])
+            same = (key[1:] == key[:-1]) & (cls[1:] != cls[:-1])
+            if same.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cls[1:][same]), pa.array(cls[:-1][same])], ["a", "b"])
 
-    return lines.select("cls", "bands").mapInArrow(lean(spread), "key long, cls long").repartition("key").mapInArrow(lean(meet), "a long, b long")
+    return lines.select("cls", "bands").mapInArrow(lean(spread), "key long, cls long").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lean(meet), "a long, b long")
 
 
 def _line_sets(batch: pa.RecordBatch):
@@ -199,7 +225,7 @@ def _line_sets(batch: pa.RecordBatch):
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(cls, first): lines and parts that are found again, and the place of the first of them."""
-    units = distinct_units(docs).where("line or count > 1").checkpoint()
+    units = distinct_units(docs).checkpoint()
     lines = units.where("line")
     known = lines.select("cls", F.col("n"), F.col("first.doc").alias("rep"))
     near = jaccard.verified(docs, colliding(lines), known, _line_sets, NUM, DEN)
