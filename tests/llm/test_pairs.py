@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from itertools import combinations
@@ -222,3 +223,51 @@ def test_parts_do_not_follow_the_batch():
     together = sorted(both.keys(both.part, 0).tolist())
     alone = [paragraphs.Units(*textops.packed(pa.array([t]))) for t in texts]
     assert together == sorted(k for u in alone for k in u.keys(u.part, 0).tolist())
+
+
+def test_bands_are_tuned():
+    for similarity, recall in ((0.8, 0.999), (0.7, 0.99), (0.9, 0.9999)):
+        bands, rows = paragraphs.tuned(similarity, recall, 64)
+        assert bands * rows <= 64 and 1 - (1 - similarity**rows) ** bands >= recall
+        more = math.ceil(math.log(1 - recall) / math.log(1 - similarity ** (rows + 1)))
+        assert more * (rows + 1) > 64
+
+
+def test_near_lines_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(25):
+        words = prose(rng, rng.randint(24, 90)).split(" ")
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(["alpha", "beta", "gamma"])
+            rows.append((len(rows), " ".join(copy)))
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shingled = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.lower().split()) for i, t in rows)}
+    similar = {(a, b) for a in shingled for b in shingled if a < b and 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b])}
+    gone = {r.doc_id for r in paragraphs.substring_dedup(docs).where("whole_line and removed").collect()}
+    want = {b for _, b in similar}
+    assert len(want) > 15 and len(gone & want) >= 0.99 * len(want) and gone <= want
+
+
+def test_passages_inside_lines_with_a_word_changed(spark):
+    rng = random.Random(22)
+    rows, planted = [], []
+    for n in range(30):
+        words = prose(rng, 70).split(" ")
+        for k in range(3):
+            own = list(words)
+            if k:
+                own[rng.randrange(10, 60)] = "changed"
+            planted.append(len(rows))
+            rows.append((len(rows), prose(rng, 25) + " " + " ".join(own) + " " + prose(rng, 25)))
+    rows += [(1000 + i, prose(rng, 150)) for i in range(100)]
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    spans = paragraphs.substring_dedup(docs).where("removed").collect()
+    cut = {}
+    for r in spans:
+        cut[r.doc_id] = cut.get(r.doc_id, 0) + r.n_words
+    later = [i for i in planted if i % 3]
+    assert sum(cut.get(i, 0) >= 35 for i in later) >= 0.9 * len(later)
+    assert not any(i >= 1000 or i % 3 == 0 for i in cut)
