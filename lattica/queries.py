@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lattica.functions import quotes, rng
 from lattica.operators import relational as rel
 from lattica.operators import stats, stencils
-from lattica.operators.boundary import Dirichlet, Extrapolate, Flux, Mirror
-from lattica.operators.cluster import ClusterParams, cluster
+from lattica.operators.boundary import Dirichlet, Extrapolate, Flux
+from lattica.operators.cluster import ClusterParams, cluster_table
 from lattica.plans import amr, executor, integrators, models, paths
 from lattica.plans.montecarlo import diffuse_arrays, random_seeds
 from lattica.plans.schema import jump, wiener
@@ -211,7 +211,9 @@ def tag_dilate(spark, sf_dir):
     return rel.dilate(flags(spark, sf_dir), 2, GRID.cells_per_dim)
 
 
-@query(f"{FLAGS} SELECT CAST(0 AS INTEGER) AS axis, i AS plane, count(*) AS n FROM flags GROUP BY i UNION ALL SELECT 1, j, count(*) FROM flags GROUP BY j")
+@query(f"""{FLAGS}, p AS (SELECT CAST(0 AS INTEGER) AS axis, i AS plane FROM flags UNION ALL SELECT 1, j FROM flags),
+  every AS (SELECT axis, unnest(range(min(plane), max(plane) + 1)) AS plane FROM p GROUP BY axis)
+  SELECT e.axis, e.plane, count(p.plane) AS n FROM every e LEFT JOIN p ON p.axis = e.axis AND p.plane = e.plane GROUP BY e.axis, e.plane""")
 def flag_signatures(spark, sf_dir):
     return rel.signatures(flags(spark, sf_dir))
 
@@ -304,11 +306,7 @@ def owner_lookup(spark, sf_dir):
 @query("""SELECT CAST(0 AS INTEGER) AS level, b AS block_id, 10.0 * (b % 3) AS x0, 10.0 * (b % 3) + 10.0 AS x1, 4.0 * (b // 3) AS y0, 4.0 * (b // 3) + 4.0 AS y1 FROM (SELECT unnest(range(9)) AS b)
   UNION ALL SELECT 1, 9, 10.0, 20.0, 2.5, 7.5 UNION ALL SELECT 1, 10, 20.0, 24.0, 2.5, 7.5""")
 def patch_outlines(spark, sf_dir):
-    cells = AMR.cells(spark)
-    step = Window.partitionBy("level").orderBy("y")
-    h = cells.select("level", "y").distinct().withColumn("h", F.col("y") - F.lag("y").over(step)).groupBy("level").agg(F.min("h").alias("hy"))
-    out = rel.patch_outlines(cells.withColumn("y0_", F.col("y"))).join(h, "level").join(cells.groupBy("level", "block_id").agg(F.min("y").alias("a"), F.max("y").alias("b")), ["level", "block_id"])
-    return out.select("level", "block_id", "x0", "x1", (F.col("a") - F.col("hy") / 2).alias("y0"), (F.col("b") + F.col("hy") / 2).alias("y1"))
+    return rel.patch_outlines(AMR.cells(spark))
 
 
 # --- counter-based randomness
@@ -433,17 +431,28 @@ def jump_counts(spark, sf_dir):
 
 # --- grains and the phase field
 
-_GRAINS = f"s AS (SELECT s_suppkey, xor(CAST({start(SEED)} AS UBIGINT), CAST(s_suppkey AS UBIGINT)) AS k FROM supplier)"
-_G1, _G1_LAST = mixing("s", ["SPLIT"])
+def units_sql(rows: str) -> tuple[str, list[str]]:
+    """CTEs of the mixed keys (s_suppkey, k) of three numbers a row of ``rows`` (s_suppkey), and their names."""
+    first, last = mixing("s", ["SPLIT"])
+    out = [f"s AS (SELECT s_suppkey, xor(CAST({start(SEED)} AS UBIGINT), CAST(s_suppkey AS UBIGINT)) AS k FROM ({rows}) r)", first]
+    names = []
+    for n in range(3):
+        ctes, name = mixing(f"s{n}", ["SPLIT"])
+        out += [f"s{n} AS (SELECT s_suppkey, xor(k, CAST({n} AS UBIGINT)) AS k FROM {last})", ctes]
+        names.append(name)
+    return ", ".join(out), names
 
 
 def grain_sql() -> str:
-    out, names = [], []
-    for n in range(3):
-        ctes, last = mixing(f"s{n}", ["SPLIT"])
-        out.append(f"s{n} AS (SELECT s_suppkey, xor(k, CAST({n} AS UBIGINT)) AS k FROM {_G1_LAST}), {ctes}")
-        names.append(last)
-    return f"{_GRAINS}, {_G1}, {', '.join(out)}, grains AS (SELECT a.s_suppkey AS grain_id, {unit_sql('a.k')} * 30.0 AS cx, {unit_sql('b.k')} * 12.0 AS cy, 2.0 AS radius, {unit_sql('c.k')} * {math.pi / 2!r} AS orientation FROM {names[0]} a JOIN {names[1]} b USING (s_suppkey) JOIN {names[2]} c USING (s_suppkey))"
+    ctes, names = units_sql("SELECT s_suppkey FROM supplier")
+    return f"{ctes}, grains AS (SELECT a.s_suppkey AS grain_id, {unit_sql('a.k')} * 30.0 AS cx, {unit_sql('b.k')} * 12.0 AS cy, 2.0 AS radius, {unit_sql('c.k')} * {math.pi / 2!r} AS orientation FROM {names[0]} a JOIN {names[1]} b USING (s_suppkey) JOIN {names[2]} c USING (s_suppkey))"
+
+
+def seed_sql(extent: tuple[float, float], radius: float) -> str:
+    ctes, names = units_sql("SELECT unnest(range((SELECT count(*) FROM nation))) AS s_suppkey")
+    margin = 2 * radius
+    place = lambda k, size: f"{margin!r} + {unit_sql(k)} * {size - 2 * margin!r}"
+    return f"WITH {ctes} SELECT a.s_suppkey AS grain_id, {place('a.k', extent[0])} AS cx, {place('b.k', extent[1])} AS cy, {radius!r} AS radius, {unit_sql('c.k')} * {math.pi / 2!r} AS orientation FROM {names[0]} a JOIN {names[1]} b USING (s_suppkey) JOIN {names[2]} c USING (s_suppkey)"
 
 
 def grains(spark, sf_dir):
@@ -616,10 +625,8 @@ def event_windows(spark, sf_dir):
 
 @query()
 def cluster_boxes(spark, sf_dir):
-    """Boxes around the flags of a coarse grid; flags are as many as the refined regions' coarse cells."""
-    found = [(r["i"], r["j"]) for r in flags(spark, sf_dir).collect()]
-    boxes = cluster(found, ClusterParams(0.7, 2))
-    return spark.createDataFrame([(list(b.lo), list(b.hi), b.cells) for b in boxes], "lo array<long>, hi array<long>, cells long")
+    """Boxes around the flags of a coarse grid."""
+    return cluster_table(flags(spark, sf_dir).withColumn("level", F.lit(0)), ClusterParams(0.7, 2)).select("lo", "hi", "cells")
 
 
 def bump(cx: float, cy: float):
@@ -662,7 +669,7 @@ def modelc_100_steps(spark, sf_dir):
     return executor.to_cells(state, GRID, ["phi", "u"])
 
 
-@query()
+@query(seed_sql((30.0, 12.0), 1.0))
 def seed_placement(spark, sf_dir):
     return random_seeds(spark, table(spark, sf_dir, "nation").count(), (30.0, 12.0), 1.0, SEED, 1.0)
 
@@ -679,4 +686,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["Mirror", "flagship", "oracle_sql", "queries"]
+__all__ = ["flagship", "oracle_sql", "queries"]

@@ -113,3 +113,84 @@ def test_studies_run_in_parallel(spark):
     assert out.select("study").distinct().count() == 3
     assert out.where("level = 0").groupBy("study").count().where("count = 256").count() == 3
     assert out.agg(F.max("u")).first()[0] <= 1.0
+
+
+def test_three_levels_under_subcycling_equal_a_plain_recursion():
+    """A lower level keeps its own half-advanced state until its substeps end: only the next level is restricted."""
+    base = amr.uniform((16, 16), (8, 8), 0.5).base
+    grid = AmrGrid(base, (2, 2), ((CellBox((8, 8), (24, 24)),), (CellBox((24, 24), (40, 40)),)))
+    model = models.Heat(0.7)
+    sim = AmrSimulation(grid, model, Subcycling())
+    sim.state.fill({"u": gauss})
+    u = [v["u"].copy() for v in sim.state.values]
+    mask = [m.copy() for m in sim.state.mask]
+    h = [0.5, 0.25, 0.125]
+
+    def laplacian(x, h):
+        wide = np.pad(x, 1, mode="edge")
+        return sum((np.roll(wide, 1, d) - 2 * wide + np.roll(wide, -1, d))[1:-1, 1:-1] for d in (0, 1)) / h**2
+
+    def view(level, before=None, alpha=1.0):
+        if not level:
+            return u[0]
+        below = view(level - 1)
+        if before is not None:
+            below = np.where(mask[level - 1], (1 - alpha) * before[level - 1] + alpha * u[level - 1], below)
+        return np.where(mask[level], u[level], amr.prolonged(below, 2))
+
+    def advance(level, dt, before=None, alpha=1.0):
+        old = [x.copy() for x in u]
+        u[level] = u[level] + dt * 0.7 * laplacian(view(level, before, alpha), h[level])
+        if level < 2:
+            for s in range(4):
+                advance(level + 1, dt / 4, old, s / 4)
+            covered = restricted(mask[level + 1].astype(float), 2) == 1
+            u[level] = np.where(covered, restricted(u[level + 1], 2), u[level])
+
+    dt = 0.5 * sim.stable_dt()
+    sim.run(5, dt)
+    for _ in range(5):
+        advance(0, dt)
+    for level in range(3):
+        assert np.abs((sim.state.values[level]["u"] - u[level])[mask[level]]).max() < 1e-12
+
+
+def test_dilation_equals_boxes_around_cells():
+    flags = np.random.default_rng(3).random((9, 7)) < 0.1
+    want = np.zeros_like(flags)
+    for i, j in np.argwhere(flags):
+        want[max(i - 2, 0) : i + 3, max(j - 2, 0) : j + 3] = True
+    assert (amr.dilated(flags, 2) == want).all() and (amr.dilated(flags, 0) == flags).all()
+
+
+def test_boxes_of_a_table_equal_boxes_of_arrays(spark):
+    from lattica.operators.cluster import cluster, cluster_table
+
+    rng = np.random.default_rng(5)
+    cells = [(level, int(i), int(j)) for level in (0, 3) for i, j in rng.integers(0, 20, (40, 2))]
+    rows = cluster_table(spark.createDataFrame(cells, "level int, i long, j long"), ClusterParams(0.7, 2)).collect()
+    for level in (0, 3):
+        want = {(b.lo, b.hi, b.cells) for b in cluster([c[1:] for c in cells if c[0] == level], ClusterParams(0.7, 2))}
+        assert {(tuple(r.lo), tuple(r.hi), r.cells) for r in rows if r.level == level} == want
+
+
+def test_grains_pruned_by_tiles_equal_all_grains(spark):
+    rng = np.random.default_rng(7)
+    grains = [(int(k), float(x), float(y), float(r), float(k)) for k, (x, y, r) in enumerate(zip(rng.uniform(0, 40, 60), rng.uniform(0, 40, 60), rng.uniform(0.5, 4, 60), strict=True))]
+    cells = spark.createDataFrame([(i, j, i + 0.5, j + 0.5) for i in range(40) for j in range(40)], "i long, j long, x double, y double")
+    table = spark.createDataFrame(grains, "grain_id long, cx double, cy double, radius double, orientation double")
+    g = np.array(grains)
+    for side in (None, 3.0, 100.0):
+        for r in rel.grain_profile(cells, table, side).collect():
+            d2 = (r.x - g[:, 1]) * (r.x - g[:, 1]) + (r.y - g[:, 2]) * (r.y - g[:, 2])
+            assert r.grain == int(np.argmin(d2)) and r.theta0 == float(r.grain)
+            assert abs(r.phi - max(-1.0, (-np.tanh((np.sqrt(d2) - g[:, 3]) / np.sqrt(2))).max())) < 1e-12
+    met = rel.near_grains(cells, table, 3.0).count()
+    assert met < 0.2 * 196 * 60
+
+
+def test_outlines_of_unequal_spacings_and_thin_patches(spark):
+    rows = [(0, 0, 1.0 + 2 * i, 0.25 + 0.5 * j) for i in range(4) for j in range(3)] + [(1, 1, 0.5, 0.5 + j) for j in range(2)]
+    cells = spark.createDataFrame(rows, "level int, block_id int, x double, y double")
+    found = {r.block_id: (r.x0, r.x1, r.y0, r.y1) for r in rel.patch_outlines(cells).collect()}
+    assert found == {0: (0.0, 8.0, 0.0, 1.5), 1: (0.0, 1.0, 0.0, 2.0)}
