@@ -122,13 +122,24 @@ class Anisotropy:
 
     def pair(self, dx, dy):
         x2, y2 = dx * dx, dy * dy
-        s = x2 + y2
-        m = s * s
-        safe = np.where(m > self.tol, m, 1.0)
-        strong = m > self.tol
-        value = np.where(strong, self.a * (1.0 + self.e * (x2 * x2 + y2 * y2) / safe), self.a)
-        slope = np.where(strong, -self.d * dx * dy * (x2 - y2) / safe, 0.0)
-        return value, slope
+        m = x2 + y2
+        m *= m
+        weak = m <= self.tol
+        m[weak] = 1.0
+        slope = -self.d * dx
+        slope *= dy
+        slope *= x2 - y2
+        slope /= m
+        x2 *= x2
+        y2 *= y2
+        x2 += y2
+        x2 *= self.e
+        x2 /= m
+        x2 += 1.0
+        x2 *= self.a
+        x2[weak] = self.a
+        slope[weak] = 0.0
+        return x2, slope
 
     def pair_columns(self, dx: Column, dy: Column) -> tuple[Column, Column]:
         x2, y2 = dx * dx, dy * dy
@@ -153,7 +164,18 @@ class Anisotropy:
         return self.pair(*self.turned(dx, dy, angle))[0]
 
     def divergence(self, slab: np.ndarray, spacing, angle=None) -> np.ndarray:
-        """Of the anisotropic flux over the four faces of each cell; ``angle`` is the cell's own."""
+        """Of the anisotropic flux over the four faces of each cell; ``angle`` is the cell's own. Without one, the
+        two cells at a face share its flux."""
+        if angle is None:
+            gx = slab[1:, 1:-1] - slab[:-1, 1:-1]
+            gy = 0.25 * (slab[1:, 2:] - slab[1:, :-2] + slab[:-1, 2:] - slab[:-1, :-2])
+            a, da = self.pair(gx, gy)
+            across = a * (a * gx - da * gy)
+            gx = 0.25 * (slab[2:, 1:] - slab[:-2, 1:] + slab[2:, :-1] - slab[:-2, :-1])
+            gy = slab[1:-1, 1:] - slab[1:-1, :-1]
+            a, da = self.pair(gx, gy)
+            along = a * (a * gy + da * gx)
+            return (across[1:] - across[:-1] + along[:, 1:] - along[:, :-1]) / (spacing[0] * spacing[1])
         c = slab[1:-1, 1:-1]
         w, e, s, n = slab[:-2, 1:-1], slab[2:, 1:-1], slab[1:-1, :-2], slab[1:-1, 2:]
         sw, se, nw, ne = slab[:-2, :-2], slab[2:, :-2], slab[:-2, 2:], slab[2:, 2:]
