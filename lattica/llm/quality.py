@@ -156,7 +156,7 @@ def train(texts: list[str], y: list[int], share: float, seed: int = 7, epochs: i
         net.out[:] = 0
         net.shift = float(np.log(share / (1 - share)))
         return net
-    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    raws = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
     even = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y == 0).mean())
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.params().items()}
     a_round = -(-len(raws) // BATCH)

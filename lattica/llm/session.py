@@ -20,6 +20,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
     return spark
 

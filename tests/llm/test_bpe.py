@@ -78,6 +78,30 @@ def test_windows_hold_everything_within_capacity(sizes):
     assert len(groups) <= -(-sum(sizes) // 2048)
 
 
+def plain_differencing(sizes, k):
+    """Karmarkar-Karp with lists of (sum, members), the two partitions of the largest spread first."""
+    parts = [(0, i, [(s, [i])] + [(0, [])] * (k - 1)) for i, s in enumerate(sizes)]
+    parts = [(p[0][0] - p[-1][0], n, p) for _, n, p in parts]
+    serial = len(sizes)
+    while len(parts) > 1:
+        parts.sort(key=lambda x: (-x[0], x[1]))
+        (_, _, a), (_, _, b), *parts = parts
+        both = sorted([(x + y, p + q) for (x, p), (y, q) in zip(a, b[::-1], strict=True)], key=lambda z: -z[0])
+        low = both[-1][0]
+        both = [(x - low, p) for x, p in both]
+        serial += 1
+        parts.append((both[0][0], serial, both))
+    return sorted(sorted(p) for _, p in parts[0][2])
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_differencing_equals_brute_force(k):
+    rng = np.random.default_rng(k)
+    for n in (1, 2, 5, 17, 40):
+        sizes = rng.integers(1, 50, n).tolist()
+        assert sorted(packing.differencing(sizes, k)) == plain_differencing(sizes, k)
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(1)
     sizes = rng.integers(10, 900, 200).tolist()
