@@ -12,14 +12,16 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the classifier does not reject (score of at least 0.3)."""
+    """Texts that the classifier does not reject (score of at least 0.3). Null and empty texts have the score of
+    an empty one, equal texts equal scores; without labels all texts have one score. An empty table stays empty."""
     labels = prepared(spark).read.parquet(f"{sf_dir}/labels.parquet")
     name = unused(docs, "_score")
     return quality.scored(docs, quality.fit(docs, labels), name).where(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that pass the base rules and lie inside their language's perplexity band."""
+    """Texts that pass the base rules and lie inside their language's perplexity band. Null, empty and short texts
+    fail the base rules; equal texts of one language stay or go together; a null language is one of its own."""
     prepared(spark)
     return rules.passing(docs)
 
@@ -33,13 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand earlier in the corpus; n_chars follows the text."""
+    """Texts without passages that stand earlier in the corpus; n_chars follows the text. A text that loses all its
+    words goes; null and empty texts and rows of a null id stay as they are; rows equal in id and text are cut alike."""
     prepared(spark)
     return paragraphs.without_duplicates(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts that are left, packed into sequences of at most 2048 tokens."""
+    """All texts that are left, packed into sequences of at most 2048 tokens; a null or empty text is one closing
+    id, repeated rows are packed each, an empty table gives no sequence."""
     prepared(spark)
     return packing.pack(docs)
 
