@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +22,19 @@ def field_stats(cells: DataFrame, field: str, threshold: float) -> DataFrame:
 
 def largest_error(left: DataFrame, right: DataFrame, field: str, keys: list[str]) -> DataFrame:
     return left.select(*keys, F.col(field).alias("_a")).join(right.select(*keys, F.col(field).alias("_b")), keys).agg(F.max(F.abs(F.col("_a") - F.col("_b"))).alias("error"))
+
+
+def solid_fraction(phi: str = "phi") -> Column:
+    """The share of cells with phi > 0, as an aggregate."""
+    return F.avg(F.when(F.col(phi) > 0, 1.0).otherwise(0.0))
+
+
+def arm_length(phi: str, center: tuple[float, float], directions: list[float], wedge: float) -> Column:
+    """The greatest distance from ``center`` of a solid cell that is seen less than ``wedge`` off one of the
+    directions (angles), as an aggregate over (x, y, phi); 0 where there is none."""
+    dx, dy = F.col("x") - F.lit(center[0]), F.col("y") - F.lit(center[1])
+    inside = F.lit(False)
+    for d in directions:
+        apart = F.pmod(F.abs(F.atan2(dy, dx) - F.lit(d)), F.lit(2 * math.pi))
+        inside = inside | (F.least(apart, F.lit(2 * math.pi) - apart) < wedge)
+    return F.max(F.when((F.col(phi) > 0) & inside, F.sqrt(dx * dx + dy * dy)).otherwise(0.0))

@@ -191,8 +191,14 @@ class Anisotropy:
             flux.append(a * (a * gx - da * gy) if number < 2 else a * (a * gy + da * gx))
         return (flux[0] - flux[1] + flux[2] - flux[3]) / (spacing[0] * spacing[1])
 
-    def divergence_column(self, field: str, spacing) -> Column:
-        """The same from the columns of ``with_corners``."""
+    def turned_columns(self, dx: Column, dy: Column, angle: Column | None) -> tuple[Column, Column]:
+        if angle is None:
+            return dx, dy
+        c, s = F.cos(angle), F.sin(angle)
+        return c * dx + s * dy, c * dy - s * dx
+
+    def divergence_column(self, field: str, spacing, angle: Column | None = None) -> Column:
+        """The same from the columns of ``with_corners``; ``angle`` is the cell's own."""
         v = lambda a: F.col(f"{field}_{a}")
         c = F.col(field)
         faces = (
@@ -203,13 +209,13 @@ class Anisotropy:
         )
         flux = []
         for number, (gx, gy) in enumerate(faces):
-            a, da = self.pair_columns(gx, gy)
+            a, da = self.pair_columns(*self.turned_columns(gx, gy, angle))
             flux.append(a * (a * gx - da * gy) if number < 2 else a * (a * gy + da * gx))
         return (flux[0] - flux[1] + flux[2] - flux[3]) / F.lit(spacing[0] * spacing[1])
 
-    def center_column(self, field: str) -> Column:
+    def center_column(self, field: str, angle: Column | None = None) -> Column:
         v = lambda a: F.col(f"{field}_{a}")
-        return self.pair_columns(F.lit(0.5) * (v("pc") - v("mc")), F.lit(0.5) * (v("cp") - v("cm")))[0]
+        return self.pair_columns(*self.turned_columns(F.lit(0.5) * (v("pc") - v("mc")), F.lit(0.5) * (v("cp") - v("cm")), angle))[0]
 
 
 def upwind(slab: np.ndarray, velocity: np.ndarray, h: float) -> np.ndarray:

@@ -469,6 +469,12 @@ def phase_sql() -> str:
  phase AS (SELECT i, j, greatest(-1.0, max(profile)) AS phi, first(orientation ORDER BY d, grain_id) AS theta0, first(grain_id ORDER BY d, grain_id) AS grain FROM far GROUP BY i, j)"""
 
 
+@query(f"{phase_sql()} SELECT avg(CASE WHEN phi > 0 THEN 1.0 ELSE 0.0 END) AS solid, round(max(CASE WHEN phi > 0 THEN sqrt(pow(x - 15.0, 2) + pow(y - 6.0, 2)) ELSE 0.0 END), 9) AS radius FROM phase JOIN g USING (i, j)")
+def solid_reach(spark, sf_dir):
+    cells = rel.grain_profile(GRID.cells(spark).select("i", "j", "x", "y"), grains(spark, sf_dir))
+    return cells.agg(stats.solid_fraction("phi").alias("solid"), F.round(stats.arm_length("phi", (15.0, 6.0), [0.0], math.pi + 1.0), 9).alias("radius"))
+
+
 @query(f"{phase_sql()} SELECT i, j, round(phi, 9) AS phi, round(theta0, 9) AS theta0, grain FROM phase")
 def voronoi_grains(spark, sf_dir):
     out = rel.grain_profile(GRID.cells(spark).select("i", "j", "x", "y"), grains(spark, sf_dir))
@@ -485,40 +491,59 @@ def corner_sql(source: str) -> str:
   coalesce(lag(pc) OVER (PARTITION BY i ORDER BY j), pc) AS pm, coalesce(lead(pc) OVER (PARTITION BY i ORDER BY j), pc) AS pp FROM nb1)"""
 
 
-def modelc_sql(dt: float | None) -> str:
+def modelc_sql(dt: float | None, oriented: bool = False) -> str:
     m = models.ModelC()
     a, e, d = m.shape.a, m.shape.e, m.shape.d
     grads = {"R": ("pc - phi", "0.25 * (pp - pm + cp - cm)"), "L": ("phi - mc", "0.25 * (cp - cm + mp - mm)"), "T": ("0.25 * (pp - mp + pc - mc)", "cp - phi"), "B": ("0.25 * (pc - mc + pm - mm)", "phi - cm"), "C": ("0.5 * (pc - mc)", "0.5 * (cp - cm)")}
     gx = ", ".join(f"{x} AS x{n}, {y} AS y{n}" for n, (x, y) in grads.items())
-    size = lambda n: f"pow(x{n} * x{n} + y{n} * y{n}, 2)"
-    aa = ", ".join(f"CASE WHEN {size(n)} > 1e-8 THEN {a!r} * (1.0 + {e!r} * (pow(x{n}, 4) + pow(y{n}, 4)) / {size(n)}) ELSE {a!r} END AS v{n}, CASE WHEN {size(n)} > 1e-8 THEN -{d!r} * x{n} * y{n} * (x{n} * x{n} - y{n} * y{n}) / {size(n)} ELSE 0.0 END AS w{n}" for n in grads)
+    turn = ", ".join(f"cos(theta0) * x{n} + sin(theta0) * y{n} AS tp{n}, cos(theta0) * y{n} - sin(theta0) * x{n} AS tq{n}" if oriented else f"x{n} AS tp{n}, y{n} AS tq{n}" for n in grads)
+    size = lambda n: f"pow(tp{n} * tp{n} + tq{n} * tq{n}, 2)"
+    aa = ", ".join(f"CASE WHEN {size(n)} > 1e-8 THEN {a!r} * (1.0 + {e!r} * (pow(tp{n}, 4) + pow(tq{n}, 4)) / {size(n)}) ELSE {a!r} END AS v{n}, CASE WHEN {size(n)} > 1e-8 THEN -{d!r} * tp{n} * tq{n} * (tp{n} * tp{n} - tq{n} * tq{n}) / {size(n)} ELSE 0.0 END AS w{n}" for n in grads)
     flux = "(vR * (vR * xR - wR * yR) - vL * (vL * xL - wL * yL) + vT * (vT * yT + wT * xT) - vB * (vB * yB + wB * xB)) / 0.5"
     rhs = f"(({flux}) - (phi * phi * phi - phi) - {m.coupling!r} * u * pow(1.0 - phi * phi, 2)) / (vC * vC)"
     out = "round(dphi, 7) AS dphi, round(du, 7) AS du" if dt is None else f"round(phi + {dt} * dphi, 7) AS phi, round(u + {dt} * du, 7) AS u"
-    return f"{phase_sql()}, st AS (SELECT i, j, phi, -0.7 AS u FROM phase), {corner_sql('st')}, gr AS (SELECT *, {gx} FROM nb), an AS (SELECT *, {aa} FROM gr), r AS (SELECT *, {rhs} AS dphi FROM an), q AS (SELECT *, {m.diffusivity!r} * {LAP} + 0.5 * dphi AS du FROM r) SELECT i, j, {out} FROM q"
+    return f"{phase_sql()}, st AS (SELECT i, j, phi, -0.7 AS u, theta0 FROM phase), {corner_sql('st')}, gr AS (SELECT *, {gx} FROM nb), tu AS (SELECT *, {turn} FROM gr), an AS (SELECT *, {aa} FROM tu), r AS (SELECT *, {rhs} AS dphi FROM an), q AS (SELECT *, {m.diffusivity!r} * {LAP} + 0.5 * dphi AS du FROM r) SELECT i, j, {out} FROM q"
 
 
 def phase(spark, sf_dir):
     cells = GRID.cells(spark).select("block_id", "cell", "i", "j", "x", "y")
-    return rel.grain_profile(cells, grains(spark, sf_dir)).select("block_id", "cell", "i", "j", "phi", F.lit(-0.7).alias("u"))
+    return rel.grain_profile(cells, grains(spark, sf_dir)).select("block_id", "cell", "i", "j", "phi", F.lit(-0.7).alias("u"), "theta0")
 
 
-@query(modelc_sql(None))
-def modelc_rhs(spark, sf_dir):
+def modelc_tendencies(spark, sf_dir, angle=None):
     m = models.ModelC()
     wide = stencils.with_neighbors(stencils.with_corners(phase(spark, sf_dir), GRID, "phi"), GRID, "u")
-    p, a = F.col("phi"), m.shape.center_column("phi")
+    p, a = F.col("phi"), m.shape.center_column("phi", angle)
     well = F.lit(1.0) - p * p
-    wide = wide.withColumn("dphi", (m.shape.divergence_column("phi", GRID.spacing) - (p * p * p - p) - F.lit(m.coupling) * F.col("u") * (well * well)) / (a * a))
+    wide = wide.withColumn("dphi", (m.shape.divergence_column("phi", GRID.spacing, angle) - (p * p * p - p) - F.lit(m.coupling) * F.col("u") * (well * well)) / (a * a))
     wide = wide.withColumn("du", F.lit(m.diffusivity) * stencils.laplacian_column(GRID, "u") + F.lit(0.5) * F.col("dphi"))
     return wide.select("i", "j", F.round("dphi", 7).alias("dphi"), F.round("du", 7).alias("du"))
 
 
+@query(modelc_sql(None))
+def modelc_rhs(spark, sf_dir):
+    return modelc_tendencies(spark, sf_dir)
+
+
+@query(modelc_sql(None, True))
+def modelc_oriented_rhs(spark, sf_dir):
+    return modelc_tendencies(spark, sf_dir, F.col("theta0"))
+
+
+def modelc_one_step(spark, sf_dir, model, names):
+    blocks = executor.to_blocks(phase(spark, sf_dir), names)
+    state = executor.advance(blocks, GRID, model, integrators.EulerMaruyama(SEED), 0.0, 0.005, 1)
+    return executor.to_cells(state, GRID, ["phi", "u"]).select("i", "j", F.round("phi", 7).alias("phi"), F.round("u", 7).alias("u"))
+
+
 @query(modelc_sql(0.005))
 def modelc_step(spark, sf_dir):
-    blocks = executor.to_blocks(phase(spark, sf_dir), ["phi", "u"])
-    state = executor.advance(blocks, GRID, models.ModelC(), integrators.EulerMaruyama(SEED), 0.0, 0.005, 1)
-    return executor.to_cells(state, GRID, ["phi", "u"]).select("i", "j", F.round("phi", 7).alias("phi"), F.round("u", 7).alias("u"))
+    return modelc_one_step(spark, sf_dir, models.ModelC(), ["phi", "u"])
+
+
+@query(modelc_sql(0.005, True))
+def modelc_oriented_step(spark, sf_dir):
+    return modelc_one_step(spark, sf_dir, models.ModelC(oriented=True), ["phi", "u", "theta0"])
 
 
 # --- market making

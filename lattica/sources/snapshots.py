@@ -6,7 +6,11 @@ Snapshots keep (block_id, cell), so they join their statics by key, whatever the
 from __future__ import annotations
 
 import logging
+import sys
+import time
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,15 @@ log = logging.getLogger("lattica")
 
 
 class SinkError(ValueError):
-    """A sink that cannot be built."""
+    """A sink that cannot be built or cannot write."""
+
+
+class InvalidDimension(SinkError):
+    """A grid of more or fewer dimensions than the sink can write."""
+
+
+class NoFields(SinkError):
+    """No fields to observe."""
 
 
 class Cadence:
@@ -43,21 +55,27 @@ class Cadence:
 
 
 class ParquetSink(Cadence):
-    """Writes ``<folder>/static/epoch=E`` and ``<folder>/snap/epoch=E/step=S``; errors are logged, not
-    raised. Files hold at most ``rows`` rows."""
+    """Writes ``<folder>/static/epoch=E`` and ``<folder>/snap/epoch=E/step=S``; errors of the storage or of Spark
+    are logged, not raised. Files hold at most ``rows`` rows. With ``grid`` its dimensions are checked at once."""
 
-    def __init__(self, folder: str, fields: list[str], statics: list[str] = (), every: int = 1, rows: int = 1 << 22):
+    def __init__(self, folder: str, fields: list[str], statics: list[str] = (), every: int = 1, rows: int = 1 << 22, grid=None):
         super().__init__(every)
         if not fields:
-            raise SinkError("a snapshot needs a field")
+            raise NoFields("a snapshot needs a field")
+        if grid is not None:
+            self._check(grid)
         self.folder, self.fields, self.statics, self.rows, self.epochs = folder, list(fields), list(statics), rows, set()
 
+    @staticmethod
+    def _check(grid) -> None:
+        if not 1 <= grid.dim <= 3:
+            raise InvalidDimension(f"{grid.dim} dimensions; one to three can be written")
+
     def _write(self, table: DataFrame, path: str) -> None:
         table.write.mode("overwrite").option("maxRecordsPerFile", self.rows).parquet(path)
 
     def observe(self, step, t, epoch, grid, state):
-        if not 1 <= grid.dim <= 3:
-            raise SinkError("one to three dimensions")
+        self._check(grid)
         try:
             if epoch not in self.epochs:
                 at = grid.cells(state.sparkSession).select("block_id", "cell", *COORDS[: grid.dim], F.col("level").cast("double").alias("level"), F.col("block_id").cast("double").alias("patch"))
@@ -67,7 +85,7 @@ class ParquetSink(Cadence):
                 self.epochs.add(epoch)
             cells = to_cells(state, grid, self.fields).select("block_id", "cell", F.lit(float(t)).alias("t"), *self.fields)
             self._write(cells, f"{self.folder}/snap/epoch={epoch}/step={step}")
-        except Exception:
+        except (OSError, PySparkException, Py4JError):
             log.exception("snapshot of step %s was not written", step)
 
 
@@ -86,6 +104,26 @@ class FieldStats(Cadence):
             log.info("step %d t %.6g %s: min %.6g max %.6g mean %.6g, %.2f %% above %g", step, t, name, row["min"], row["max"], row["mean"], 100 * row["above"], threshold)
 
 
+class Progress(Cadence):
+    """A line of progress at each observed step: steps done, steps a second, time left, and what ``message`` (a
+    ``FieldStats`` that runs beside it, or any callable) has to say."""
+
+    def __init__(self, total: int, every: int = 1, message=None, out=None, clock=time.monotonic):
+        super().__init__(every)
+        self.total, self.message, self.out, self.clock = total, message, out, clock
+        self.began, self.lines = clock(), []
+
+    def observe(self, step, t, epoch, grid, state):
+        spent = max(self.clock() - self.began, 1e-9)
+        rate = step / spent
+        line = f"[{spent:.0f} s] {step}/{self.total} ({rate:.3g} steps/s, {max(self.total - step, 0) / rate:.0f} s left) t={t:.6g}"
+        last = self.message.found[-1:] if isinstance(self.message, FieldStats) else [self.message()] if self.message else []
+        for found in last:
+            line += f" | {found[2]} in [{found[3]:.4g}, {found[4]:.4g}], mean {found[5]:.4g}, above {100 * found[6]:.1f} %" if isinstance(found, tuple) else f" | {found}"
+        self.lines.append(line)
+        print(line, file=self.out or sys.stderr)
+
+
 class Callback(Cadence):
     """A user's own observer."""
 
@@ -114,8 +152,12 @@ def snapshot_steps(spark: SparkSession, folder: str) -> list[int]:
     return steps
 
 
-def middle_plane(cells: DataFrame, axis: str = "z") -> DataFrame:
-    """Rows of the middle one of the distinct coordinates along an axis."""
+def middle_plane(cells: DataFrame, axis: str = "z", grid=None) -> DataFrame:
+    """Rows of the middle one of the distinct coordinates along an axis; with ``grid`` it is known without a look."""
+    if grid is not None:
+        d = COORDS.index(axis)
+        middle = grid.origin[d] + (grid.cells_per_dim[d] // 2 + 0.5) * grid.spacing[d]
+        return cells.where(F.abs(F.col(axis) - middle) < grid.spacing[d] / 2)
     distinct = cells.select(axis).distinct()
     n = distinct.count()
     at = distinct.orderBy(axis).offset(n // 2).limit(1).first()[axis]

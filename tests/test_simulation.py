@@ -246,3 +246,43 @@ def test_stream_of_events(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("select * from binned").count() >= 4
+
+
+def test_example_run_with_progress_and_snapshots(spark, tmp_path, capsys):
+    from lattica.__main__ import main
+    from lattica.sources.snapshots import read_snapshots, snapshot_steps
+
+    main(["--cells", "16", "--block", "8", "--steps", "4", "--every", "2", "--angle", "0.3", "--out", str(tmp_path / "run")])
+    lines = [x for x in capsys.readouterr().err.splitlines() if "steps/s" in x]
+    assert [x.split()[2] for x in lines] == ["1/4", "2/4", "4/4"] and "phi in [" in lines[-1]
+    assert snapshot_steps(spark, str(tmp_path / "run")) == [1, 2, 4]
+    assert read_snapshots(spark, str(tmp_path / "run")).count() == 3 * 256
+
+
+def test_sinks_reject_what_they_cannot_write():
+    from types import SimpleNamespace
+
+    from lattica.sources import snapshots
+
+    with pytest.raises(snapshots.NoFields):
+        snapshots.ParquetSink("x", [])
+    with pytest.raises(snapshots.InvalidDimension):
+        snapshots.ParquetSink("x", ["u"], grid=SimpleNamespace(dim=4))
+
+
+def test_arm_length_within_a_wedge(spark):
+    from lattica.operators import stats
+
+    rows = [(3.0, 0.0, 1.0), (0.0, 5.0, 1.0), (-2.0, 0.1, 1.0), (9.0, 0.0, -1.0)]
+    cells = spark.createDataFrame(rows, "x double, y double, phi double")
+    got = cells.agg(stats.arm_length("phi", (0.0, 0.0), [0.0], 0.2).alias("a"), stats.arm_length("phi", (0.0, 0.0), [np.pi / 2, -np.pi], 0.2).alias("b"), stats.arm_length("phi", (0.0, 0.0), [np.pi / 4], 0.2).alias("c"), stats.solid_fraction().alias("s")).first()
+    assert (got.a, got.b, got.c, got.s) == (3.0, 5.0, 0.0, 0.75)
+
+
+def test_middle_plane_by_grid(spark):
+    from lattica.sources.grid import CartesianGrid
+    from lattica.sources.snapshots import middle_plane
+
+    grid = CartesianGrid((4, 4, 5), (4, 4, 5), (0.0, 0.0, 1.0), (0.5, 0.5, 0.2))
+    cells = grid.cells(spark)
+    assert sorted(middle_plane(cells, "z", grid).collect()) == sorted(middle_plane(cells, "z").collect())
