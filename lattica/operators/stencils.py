@@ -57,6 +57,9 @@ def stencil(policy, op, grid):
 # --- windows over cell tables
 
 
+PIECE, REACH = 1 << 16, 2
+
+
 def axis_window(dim: int, axis: int, *also: str):
     others = [a for d, a in enumerate(AXES[:dim]) if d != axis]
     return Window.partitionBy(*also, *others).orderBy(AXES[axis]) if others or also else Window.partitionBy(F.lit(0)).orderBy(AXES[axis])
@@ -64,12 +67,28 @@ def axis_window(dim: int, axis: int, *also: str):
 
 def with_neighbors(cells: DataFrame, grid: CartesianGrid, field: str, faces: Faces = None, also: tuple[str, ...] = ()) -> DataFrame:
     """Add ``<field>_m<d>`` and ``<field>_p<d>``: the values before and after along each dimension."""
+    if grid.dim == 1 and not also:
+        return _along_a_line(cells, grid, field, faces)
     for d in range(grid.dim):
         before, after = neighbor_columns(F.col(field), axis_window(grid.dim, d, *also), grid.spacing[d], rule_at(faces, d, -1), rule_at(faces, d, 1), grid.periodic[d], grid.cells_per_dim[d])
         cells = cells.withColumns({f"{field}_m{d}": before, f"{field}_p{d}": after})
     return cells
 
 
+def _along_a_line(cells: DataFrame, grid: CartesianGrid, field: str, faces: Faces) -> DataFrame:
+    """``with_neighbors`` of a line, in pieces of ``PIECE`` cells; each gets ``REACH`` cells of its neighbours too."""
+    n, i = grid.cells_per_dim[0], F.col(AXES[0])
+    rows = cells.withColumn("_at", i)
+    if grid.periodic[0] and n > 2 * REACH:
+        rows = cells.withColumn("_at", F.explode(F.when(i < REACH, F.array(i, i + n)).when(i >= n - REACH, F.array(i, i - n)).otherwise(F.array(i))))
+    pieces = F.array_distinct(F.array(F.floor((F.col("_at") - REACH) / PIECE), F.floor((F.col("_at") + REACH) / PIECE)))
+    rows = rows.withColumn("_piece", F.explode(pieces))
+    over = Window.partitionBy("_piece").orderBy("_at")
+    before, after = neighbor_columns(F.col(field), over, grid.spacing[0], rule_at(faces, 0, -1), rule_at(faces, 0, 1), grid.periodic[0], n)
+    wide = rows.withColumns({f"{field}_m0": before, f"{field}_p0": after})
+    return wide.where((F.col("_at") == i) & (F.col("_piece") == F.floor(i / PIECE))).drop("_at", "_piece")
+
+
 def laplacian_column(grid: CartesianGrid, field: str) -> Column:
     """The Laplacian from the columns of ``with_neighbors``: per dimension, in order, (p - 2u + m) / h^2."""
     u, total = F.col(field), F.lit(0.0)

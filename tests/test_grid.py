@@ -112,3 +112,19 @@ def test_column_randomness_equals_numpy(spark):
     keys = rng.mix_key(42, [3, p.p.to_numpy().view(np.uint64), p.id.to_numpy().astype(np.uint64)])
     assert (keys.view(np.int64) == p.k).all() and (rng.unit_open(keys) == p.u).all()
     assert np.abs(rng.standard_normal(keys) - p.z).max() < 1e-14
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_a_line_in_pieces(spark, monkeypatch, periodic):
+    from lattica.operators import stencils
+    from lattica.operators.boundary import Extrapolate
+
+    u = np.random.default_rng(4).normal(size=23)
+    grid = CartesianGrid((23,), (23,), (0.0,), (0.5,), (periodic,))
+    cells = spark.createDataFrame([(i, float(x)) for i, x in enumerate(u)], "i long, u double")
+    faces = None if periodic else {(0, -1): Extrapolate(), (0, 1): Extrapolate()}
+    wide = np.concatenate([[u[-1]], u, [u[0]]]) if periodic else np.concatenate([[2 * u[0] - u[1]], u, [2 * u[-1] - u[-2]]])
+    for piece in (1 << 16, 11, 4, 22):
+        monkeypatch.setattr(stencils, "PIECE", piece)
+        rows = {r.i: (r.u_m0, r.u_p0) for r in stencils.with_neighbors(cells, grid, "u", faces).collect()}
+        assert len(rows) == 23 and all(abs(rows[i][0] - wide[i]) < 1e-12 and abs(rows[i][1] - wide[i + 2]) < 1e-12 for i in range(23))
