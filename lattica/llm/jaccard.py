@@ -18,9 +18,10 @@ similarity of their sets is at least num/den. Steps, none of which lists all pai
    and their lists jump by binary search to the head that is then smallest. The last members that were taken
    are searched first, for a link to one of them often closes all others. Blocks over ``SUB`` classes are
    split into pairs of sub-blocks.
-5. Components of the links found; component_id is the smallest doc_id in them.
+5. Components of the links found; component_id is the smallest doc_id in them. A link between texts that other
+   links already join need not be found for that; ``every`` finds and counts all.
 
-Links lost: none, but for collisions of 64-bit hashes. Null and empty texts, and texts without words,
+Texts lost to a component: none, but for collisions of 64-bit hashes. Null and empty texts, and texts without words,
 have the empty set and link with nothing. Rows with equal ids count as one node. A null id takes no
 part and gets a null component. An empty table gives an empty result.
 """
@@ -173,9 +174,9 @@ def divide_skip(lists: list[list[int]], least: int, mu: float = MU) -> dict[int,
     return found
 
 
-def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of one block. Where ``sides`` holds two values, pairs of one
-    side are left out (another task has them)."""
+def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of one block, or with ``every`` all links. Where ``sides`` holds two
+    values, pairs of one side are left out (another task has them)."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes, side = sizes[order], sides[order]
@@ -206,11 +207,11 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
             open_ &= side != side[x]
         first = np.zeros(len(order), bool)
         first[[y for k, ys in recent.items() if not two or k != side[x] for y in ys]] = True
-        for part in (first, ~first):
-            allowed = open_ & part & (root != root[x])
+        for part in (np.ones_like(first),) if every else (first, ~first):
+            allowed = open_ & part & (every | (root != root[x]))
             lists = lists_of(x, allowed) if allowed.any() else []
             for y, shared in divide_skip(lists, least).items():
-                if root[x] != root[y] and shared >= need(n, int(sizes[y]), num, den):
+                if (every or root[x] != root[y]) and shared >= need(n, int(sizes[y]), num, den):
                     links.append((int(order[x]), int(order[y])))
                     root[root == root[x]] = root[y]
         own = recent[int(side[x])]
@@ -251,9 +252,9 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, n long, cls long")
 
 
-def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): links between classes that connect all linked classes. ``known``: a row per class
-    (cls, n, rep)."""
+def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int, every: bool = False) -> DataFrame:
+    """(a, b): links between classes that connect all linked classes, or with ``every`` all links, each once.
+    ``known``: a row per class (cls, n, rep)."""
     spark = docs.sparkSession
     hot = bitmap(docs, lambda batch: (s for _, sets in _sets(batch, words) for s in [np.concatenate(sets) if sets else np.zeros(0, textops.U)]), CELLS, common)
     marks = spark.sparkContext.broadcast(hot)
@@ -328,10 +329,10 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int) ->
         for ids, sets in _sets(batch, words):
             yield ids, np.array([set_key(s) for s in sets], np.int64), sets
 
-    return verified(docs, near, known, rep_sets, num, den)
+    return verified(docs, near, known, rep_sets, num, den, every)
 
 
-def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num: int, den: int) -> DataFrame:
+def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num: int, den: int, every: bool = False) -> DataFrame:
     """(a, b): links of at least num/den that connect all linked classes of each component of ``near``
     (a, b). ``known`` has a row per class (cls, n, rep): set size and the smallest id of a text that
     holds it; ``rep_sets(batch)`` gives (ids, class ids, sets) of the texts of a batch."""
@@ -362,7 +363,7 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
         for group in textops.groups(batches, ["block", "i", "j"]):
             cls, at = np.unique(group["cls"].to_numpy(), return_index=True)
             raw, sub = group["shingles"].to_pylist(), group["sub"].to_numpy()
-            found = search([np.frombuffer(raw[k], textops.U) for k in at], sub[at], num, den) if len(cls) > 1 else []
+            found = search([np.frombuffer(raw[k], textops.U) for k in at], sub[at], num, den, every) if len(cls) > 1 else []
             if found:
                 pairs = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, 0]]), pa.array(cls[pairs[:, 1]])], ["a", "b"])
@@ -371,17 +372,25 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
     return ordered.mapInArrow(lean(local), "a long, b long")
 
 
-def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``. With ``every`` no link is left out where
+    another way joins two texts already, and n_links follows: the rows that a row links with, equal texts and
+    repeated rows among them (null for a null id); its work grows with the number of links."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = slim.where(F.col("doc_id").isNotNull())
     rows = classes(slim, words).checkpoint()
-    known = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")).checkpoint()
-    near = links(named, known, words, num, den)
+    known = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")).checkpoint()
+    near = links(named, known.select("cls", "n", "rep"), words, num, den, every)
+    near = near.checkpoint() if every else near
     same = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
     roots = components(near.union(same)).checkpoint()
-    joined = known.join(roots, known.cls == roots.node, "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    joined = known.join(roots, known.cls == roots.node, "left").select("cls", "rep", "copies", F.coalesce("root", "cls").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = joined.join(least, "root").select("cls", F.col("component"))
+    of_class = joined.join(least, "root").select("cls", "component", "copies")
+    if every:
+        both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        partners = both.join(known.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))
+        of_class = of_class.join(partners, "cls", "left")
     out = rows.join(of_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"))
+    linked = [F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("others", F.lit(0))).otherwise(0)).alias("n_links")] if every else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"), *linked)

@@ -52,6 +52,23 @@ def test_join_equals_brute_force(spark, n, num):
     assert out.where("doc_id is null and component_id is not null").count() == 0
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SUB", 4)  # families are split into pairs of sub-blocks
+    docs = documents(prepared(spark))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+        sets.setdefault(i, []).append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set())
+    flat = [(i, s) for i, own in sets.items() if i is not None for s in own]
+    want = sorted((i, sum(1 for k, (_, b) in enumerate(flat) if k != at and a and b and 100 * len(a & b) >= 85 * len(a | b))) for at, (i, a) in enumerate(flat))
+    got = jaccard.ngram_join(docs, 4, 85, 100, every=True).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got if r.doc_id is not None) == want
+    assert all(r.n_links is None for r in got if r.doc_id is None) and max(n for _, n in want) > 5
+    plain = jaccard.ngram_join(docs, 4, 85, 100)
+    assert sorted(map(str, plain.collect())) == sorted(str(r) for r in jaccard.ngram_join(docs, 4, 85, 100, every=True).drop("n_links").collect())
+
+
 def test_families_larger_than_a_short_list(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT", 4)
     monkeypatch.setattr(jaccard, "SUB", 6)
