@@ -41,7 +41,7 @@ from lattica.llm.flat import distinct, spread
 from lattica.llm.session import lean, unused
 
 ORDER, SHARD, HELD = 5, 1 << 22, 1 << 22
-LOW, HIGH, PRIOR, FLOOR = 6.0, 4.5, 20, 0.05
+LOW, HIGH, PRIOR, FLOOR = 8.0, 4.5, 20, 0.05
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), list(_SYMBOLS))

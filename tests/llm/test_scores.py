@@ -178,7 +178,7 @@ def test_bands_move_little_with_one_more_text(spark):
 def test_bands_reject_beyond_their_widths(spark):
     rows = [2.0 + 0.001 * (i % 1000) for i in range(2000)]
     spread = 0.5 / 1.349
-    rows += [2.4995 + 4.7 * spread, 2.4995 + 4.3 * spread, 2.4995 - 6.2 * spread, 2.4995 - 5.8 * spread]
+    rows += [2.4995 + 4.7 * spread, 2.4995 + 4.3 * spread, 2.4995 - 8.2 * spread, 2.4995 - 7.8 * spread]
     measured = prepared(spark).createDataFrame([(i, "en", (90, 0, p)) for i, p in enumerate(rows)], "doc_id long, lang string, _q struct<n_words: long, n_repeat_words: long, log_perplexity: double>")
     out, verdict = rules.kept(measured, rules.bands(measured))
     assert {r.doc_id: r[verdict] for r in out.where("doc_id >= 2000").collect()} == {2000: False, 2001: True, 2002: False, 2003: True}
