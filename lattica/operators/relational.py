@@ -81,6 +81,16 @@ def axpy(cells: DataFrame, field: str, tendency: str, a: float) -> DataFrame:
     return cells.withColumn(field, F.col(field) + F.lit(a) * F.col(tendency))
 
 
+def copied(cells: DataFrame, source: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
+    """``cells`` with these fields taken from ``source``; cells that it lacks keep their own."""
+    other = source.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
+    return cells.join(other, keys, "left").withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).select(*cells.columns)
+
+
+def filled(cells: DataFrame, fields: list[str], value: float = 0.0) -> DataFrame:
+    return cells.withColumns({f: F.lit(float(value)) for f in fields})
+
+
 def gradient_flags(cells: DataFrame, grid: CartesianGrid, field: str, threshold: float) -> DataFrame:
     """Cells whose largest half central difference exceeds the threshold (strictly)."""
     wide = with_neighbors(cells, grid, field)
@@ -111,6 +121,39 @@ def uncovered(need: DataFrame, cover: DataFrame, dim: int = 2) -> DataFrame:
     return need.join(cover, axes(dim), "left_anti")
 
 
+def flag_union(*tables: DataFrame, dim: int = 2) -> DataFrame:
+    """Flags of any of the tables, once each."""
+    out = tables[0].select(*axes(dim))
+    for more in tables[1:]:
+        out = out.union(more.select(*axes(dim)))
+    return out.distinct()
+
+
+def of_level(cells: DataFrame, level: int) -> DataFrame:
+    return cells.where(F.col("level") == level)
+
+
+def ghost_ring(patches: DataFrame, width: int, dim: int = 2) -> DataFrame:
+    """(block_id, i, ...): the cells within ``width`` of each patch (lo, hi) and outside of it, once each.
+
+    Two strips an axis cover the ring without overlap: along the axes before theirs they are as long as the
+    patch, along those after as long as the patch with its ghosts."""
+    out = None
+    for d in range(dim):
+        for side in (0, 1):
+            strip = patches
+            for e, a in enumerate(axes(dim)):
+                low, high = F.col("lo")[e], F.col("hi")[e]
+                if e == d:
+                    first, last = (low - width, low - 1) if side == 0 else (high, high + width - 1)
+                else:
+                    first, last = (low, high - 1) if e < d else (low - width, high + width - 1)
+                strip = strip.withColumn(a, F.explode(F.sequence(first, last)))
+            strip = strip.select("block_id", *axes(dim))
+            out = strip if out is None else out.union(strip)
+    return out
+
+
 def signatures(flags: DataFrame, dim: int = 2) -> DataFrame:
     """(axis, plane, n): flags in each coordinate plane of their bounding box; empty planes have 0."""
     planes = F.explode(F.array(*[F.struct(F.lit(d).alias("axis"), F.col(a).alias("plane")) for d, a in enumerate(axes(dim))])).alias("p")

@@ -83,6 +83,11 @@ class Layout:
     def ghost(self) -> int:
         return max((f.ghost for f in self.fields), default=0)
 
+    @property
+    def ghost_widths(self) -> list[int]:
+        """The different widths that are filled, in order."""
+        return sorted({f.ghost for f in self.fields if f.ghost})
+
     def check(self, drivers) -> None:
         """Wieners come first, then jumps; each needs a field that it moves."""
         kinds = [d.partition(":")[0] for d in drivers]

@@ -218,6 +218,19 @@ def flag_signatures(spark, sf_dir):
     return rel.signatures(flags(spark, sf_dir))
 
 
+@query(f"{FLAGS} SELECT i, j FROM flags UNION SELECT i, j FROM g WHERE i < 3 UNION SELECT i, j FROM flags")
+def flag_union(spark, sf_dir):
+    found = flags(spark, sf_dir)
+    return rel.flag_union(found, GRID.cells(spark).where("i < 3"), found)
+
+
+@query("""SELECT b AS block_id, i, j FROM (SELECT 9 AS b, 4 AS i0, 8 AS i1, 1 AS j0, 3 AS j1 UNION ALL SELECT 10, 0, 2, 0, 5) p, (SELECT unnest(range(-2, 12)) AS i) x, (SELECT unnest(range(-2, 12)) AS j) y
+  WHERE i >= i0 - 2 AND i < i1 + 2 AND j >= j0 - 2 AND j < j1 + 2 AND NOT (i >= i0 AND i < i1 AND j >= j0 AND j < j1)""")
+def ghost_ring(spark, sf_dir):
+    patches = spark.createDataFrame([(9, [4, 1], [8, 3]), (10, [0, 0], [2, 5])], "block_id int, lo array<long>, hi array<long>")
+    return rel.ghost_ring(patches, 2)
+
+
 @query(f"{FLAGS} SELECT min(i) AS i_lo, max(i) + 1 AS i_hi, min(j) AS j_lo, max(j) + 1 AS j_hi, count(*) AS n, round(count(*) / CAST((max(i) + 1 - min(i)) * (max(j) + 1 - min(j)) AS DOUBLE), 9) AS efficiency FROM flags")
 def flag_bbox(spark, sf_dir):
     box = rel.bounding_box(flags(spark, sf_dir))

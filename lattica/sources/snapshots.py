@@ -56,15 +56,17 @@ class Cadence:
 
 class ParquetSink(Cadence):
     """Writes ``<folder>/static/epoch=E`` and ``<folder>/snap/epoch=E/step=S``; errors of the storage or of Spark
-    are logged, not raised. Files hold at most ``rows`` rows. With ``grid`` its dimensions are checked at once."""
+    are logged, not raised. Files hold at most ``rows`` rows. With ``grid`` its dimensions are checked at once;
+    ``group_bytes`` is the size at which a row group is closed."""
 
-    def __init__(self, folder: str, fields: list[str], statics: list[str] = (), every: int = 1, rows: int = 1 << 22, grid=None):
+    def __init__(self, folder: str, fields: list[str], statics: list[str] = (), every: int = 1, rows: int = 1 << 22, grid=None, group_bytes: int | None = None):
         super().__init__(every)
         if not fields:
             raise NoFields("a snapshot needs a field")
         if grid is not None:
             self._check(grid)
         self.folder, self.fields, self.statics, self.rows, self.epochs = folder, list(fields), list(statics), rows, set()
+        self.options = {"maxRecordsPerFile": rows} | ({"parquet.block.size": group_bytes} if group_bytes else {})
 
     @staticmethod
     def _check(grid) -> None:
@@ -72,7 +74,7 @@ class ParquetSink(Cadence):
             raise InvalidDimension(f"{grid.dim} dimensions; one to three can be written")
 
     def _write(self, table: DataFrame, path: str) -> None:
-        table.write.mode("overwrite").option("maxRecordsPerFile", self.rows).parquet(path)
+        table.write.mode("overwrite").options(**self.options).parquet(path)
 
     def observe(self, step, t, epoch, grid, state):
         self._check(grid)
@@ -152,6 +154,21 @@ def snapshot_steps(spark: SparkSession, folder: str) -> list[int]:
     return steps
 
 
+def frame(spark: SparkSession, folder: str, step: int, field: str) -> DataFrame:
+    """(coordinates, level, field) of one observed step; KeyError if it was not observed."""
+    rows = read_snapshots(spark, folder).where(F.col("step") == step)
+    if rows.isEmpty():
+        raise KeyError(step)
+    return rows.select(*[c for c in COORDS if c in rows.columns], "level", field)
+
+
+def value_range(spark: SparkSession, folder: str, field: str) -> DataFrame:
+    """(low, high) of a field over the first and the last observed step: one colour scale for all frames."""
+    steps = snapshot_steps(spark, folder)
+    rows = spark.read.parquet(f"{folder}/snap").where(F.col("step").isin(steps[0], steps[-1]))
+    return rows.agg(F.min(field).alias("low"), F.max(field).alias("high"))
+
+
 def middle_plane(cells: DataFrame, axis: str = "z", grid=None) -> DataFrame:
     """Rows of the middle one of the distinct coordinates along an axis; with ``grid`` it is known without a look."""
     if grid is not None:

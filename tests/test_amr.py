@@ -194,3 +194,18 @@ def test_outlines_of_unequal_spacings_and_thin_patches(spark):
     cells = spark.createDataFrame(rows, "level int, block_id int, x double, y double")
     found = {r.block_id: (r.x0, r.x1, r.y0, r.y1) for r in rel.patch_outlines(cells).collect()}
     assert found == {0: (0.0, 8.0, 0.0, 1.5), 1: (0.0, 1.0, 0.0, 2.0)}
+
+
+def test_copied_and_filled_fields(spark):
+    cells = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 4.0)], "i long, a double, b double")
+    other = spark.createDataFrame([(1, 7.0, 8.0)], "i long, a double, b double")
+    assert sorted(rel.copied(cells, other, ["a"], ["i"]).collect()) == [(0, 1.0, 2.0), (1, 7.0, 4.0)]
+    assert sorted(rel.filled(cells, ["b"]).collect()) == [(0, 1.0, 0.0), (1, 3.0, 0.0)]
+    assert rel.of_level(cells.withColumn("level", F.col("i")), 1).count() == 1
+    assert models.ModelC(oriented=True).layout().ghost_widths == [1]
+
+
+def test_ring_in_three_dimensions(spark):
+    patch = spark.createDataFrame([(0, [1, 2, 3], [3, 3, 5])], "block_id int, lo array<long>, hi array<long>")
+    rows = [(r.i, r.j, r.k) for r in rel.ghost_ring(patch, 1, 3).collect()]
+    assert len(rows) == len(set(rows)) == 4 * 3 * 4 - 2 * 1 * 2

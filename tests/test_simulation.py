@@ -250,13 +250,19 @@ def test_stream_of_events(spark, tmp_path):
 
 def test_example_run_with_progress_and_snapshots(spark, tmp_path, capsys):
     from lattica.__main__ import main
-    from lattica.sources.snapshots import read_snapshots, snapshot_steps
+    from lattica.sources.snapshots import frame, read_snapshots, snapshot_steps, value_range
 
     main(["--cells", "16", "--block", "8", "--steps", "4", "--every", "2", "--angle", "0.3", "--out", str(tmp_path / "run")])
     lines = [x for x in capsys.readouterr().err.splitlines() if "steps/s" in x]
     assert [x.split()[2] for x in lines] == ["1/4", "2/4", "4/4"] and "phi in [" in lines[-1]
     assert snapshot_steps(spark, str(tmp_path / "run")) == [1, 2, 4]
     assert read_snapshots(spark, str(tmp_path / "run")).count() == 3 * 256
+    seen = frame(spark, str(tmp_path / "run"), 4, "phi")
+    assert seen.count() == 256 and seen.columns == ["x", "y", "level", "phi"]
+    low, high = value_range(spark, str(tmp_path / "run"), "phi").first()
+    assert low <= seen.agg({"phi": "min"}).first()[0] and high >= seen.agg({"phi": "max"}).first()[0]
+    with pytest.raises(KeyError):
+        frame(spark, str(tmp_path / "run"), 3, "phi")
 
 
 def test_sinks_reject_what_they_cannot_write():
