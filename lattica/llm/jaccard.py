@@ -385,8 +385,10 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     same = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
     roots = components(near.union(same)).checkpoint()
     joined = known.join(roots, known.cls == roots.node, "left").select("cls", "rep", "copies", F.coalesce("root", "cls").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = joined.join(least, "root").select("cls", "component", "copies")
+    # a component may hold a large share of the rows: its one row of ``least`` is copied for each salt
+    least = joined.groupBy("root").agg(F.min("rep").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(SALTS)).cast("int")
+    of_class = joined.withColumn("salt", salt).join(least, ["root", "salt"]).select("cls", "component", "copies")
     if every:
         both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         partners = both.join(known.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))
