@@ -465,7 +465,7 @@ def seed_sql(extent: tuple[float, float], radius: float) -> str:
     ctes, names = units_sql("SELECT unnest(range((SELECT count(*) FROM nation))) AS s_suppkey")
     margin = 2 * radius
     place = lambda k, size: f"{margin!r} + {unit_sql(k)} * {size - 2 * margin!r}"
-    return f"WITH {ctes} SELECT a.s_suppkey AS grain_id, {place('a.k', extent[0])} AS cx, {place('b.k', extent[1])} AS cy, {radius!r} AS radius, {unit_sql('c.k')} * {math.pi / 2!r} AS orientation FROM {names[0]} a JOIN {names[1]} b USING (s_suppkey) JOIN {names[2]} c USING (s_suppkey)"
+    return f"WITH {ctes} SELECT a.s_suppkey AS grain_id, {place('a.k', extent[0])} AS cx, {place('b.k', extent[1])} AS cy, CAST({radius!r} AS DOUBLE) AS radius, {unit_sql('c.k')} * {math.pi / 2!r} AS orientation FROM {names[0]} a JOIN {names[1]} b USING (s_suppkey) JOIN {names[2]} c USING (s_suppkey)"
 
 
 def grains(spark, sf_dir):
