@@ -3,8 +3,8 @@
 Texts become sets of word shingles; equal sets form one class. Two classes link when the Jaccard
 similarity of their sets is at least num/den. Steps, none of which lists all pairs of a group:
 
-1. A sketch over all texts marks shingles that many texts have (``CELLS`` counters; the marks are a
-   bitmap of fixed size). All sets are ordered alike: unmarked shingles first, then by hash.
+1. A sketch over all texts marks shingles that many texts have (counters for ``LOAD`` shingles each, at least
+   ``CELLS`` and at most ``MOST``). All sets are ordered alike: unmarked shingles first, then by hash.
 2. Prefix: linked sets x, y share a shingle of their first n - ceil(n num/den) + 1, and at least
    T'(x, y) = ceil(num (nx + ny) / (num + den)) - ceil(nx num/den) + 1 of them (nx the larger).
    Each class posts its prefix; a partition holds whole inverted lists.
@@ -45,8 +45,9 @@ from lattica.llm.flat import spread
 from lattica.llm.graph import components
 from lattica.llm.session import lean, unused
 
-CELLS, RANGES, SHORT, SUB, SUB_SIZE, SALTS = 1 << 22, 64, 64, 256, 1 << 20, 16
-MU, RECENT, BRANCH = 0.01, 2, 256
+CELLS, MOST, LOAD, RANGES, BRANCH = 1 << 22, 1 << 25, 32, 64, 16
+COMMON, SHORT, SUB, SUB_SIZE, SALTS = 32, 128, 256, 1 << 20, 16
+MU, RECENT = 0.01, 2
 
 
 def need(nx, ny, num: int, den: int):
@@ -92,7 +93,7 @@ def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
                 table[cell] = np.minimum(table[cell] + n, 65535)
         if seen:
             branch = np.full(RANGES, TaskContext.get().partitionId() % BRANCH, np.int32)
-            rows = [zlib.compress(table[r * wide : (r + 1) * wide].astype(np.int64).tobytes(), 1) for r in range(RANGES)]
+            rows = [zlib.compress(table[r * wide : (r + 1) * wide].tobytes(), 1) for r in range(RANGES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(branch), pa.array(rows, pa.binary())], ["range", "branch", "counts"])
 
     def added(last: bool):
@@ -110,7 +111,7 @@ def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
                         yield row()
                         counts = np.zeros(wide, np.int64)
                     now = place
-                    counts += np.frombuffer(zlib.decompress(raw), np.int64)
+                    counts += np.frombuffer(zlib.decompress(raw), np.int64 if last else np.uint16)
             if now is not None:
                 yield row()
 
@@ -132,7 +133,13 @@ def has(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
 def common(counts: np.ndarray) -> np.ndarray:
     """Cells that hold clearly more than an even share: at least one shingle there is common."""
     mean = counts.mean()
-    return counts > mean + 6 * np.sqrt(mean) + SHORT // 2
+    return counts > mean + 6 * np.sqrt(mean) + COMMON
+
+
+def room(total: int) -> int:
+    """Cells of the sketch over so many shingles, a power of two: the fuller its cells are, the more copies of a
+    shingle pass unmarked."""
+    return max(CELLS, min(MOST, 1 << (-(-total // LOAD) - 1).bit_length()))
 
 
 def divide_skip(lists: list[list[int]], least: int, mu: float = MU) -> dict[int, int]:
@@ -256,7 +263,8 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int, eve
     """(a, b): links between classes that connect all linked classes, or with ``every`` all links, each once.
     ``known``: a row per class (cls, n, rep)."""
     spark = docs.sparkSession
-    hot = bitmap(docs, lambda batch: (s for _, sets in _sets(batch, words) for s in [np.concatenate(sets) if sets else np.zeros(0, textops.U)]), CELLS, common)
+    cells = room(known.agg(F.sum("n")).first()[0] or 1)
+    hot = bitmap(docs, lambda batch: (s for _, sets in _sets(batch, words) for s in [np.concatenate(sets) if sets else np.zeros(0, textops.U)]), cells, common)
     marks = spark.sparkContext.broadcast(hot)
 
     def post(batches):
@@ -298,9 +306,11 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int, eve
             short = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
             begin = np.repeat(starts, length)[short]
             size = size.astype(np.int64)
-            for lo in range(0, len(short), 1 << 16):
+            before, hi = np.concatenate([[0], np.cumsum(short - begin)]), 0
+            while hi < len(short):  # some 1 << 20 pairs at a time
+                lo, hi = hi, max(hi + 1, min(hi + (1 << 16), int(np.searchsorted(before, before[hi] + (1 << 20), "right")) - 1))
                 rows = []
-                for at, first in zip(short[lo : lo + (1 << 16)].tolist(), begin[lo : lo + (1 << 16)].tolist(), strict=True):
+                for at, first in zip(short[lo:hi].tolist(), begin[lo:hi].tolist(), strict=True):
                     first += int(np.searchsorted(size[first:at], -(-size[at] * num // den)))
                     if first < at:
                         rows.append((cls[at], size[at], cls[first:at].tobytes(), size[first:at].tobytes()))

@@ -85,6 +85,41 @@ def test_families_larger_than_a_short_list(spark, monkeypatch):
     assert answer(jaccard.ngram_join(docs, 4, 85, 100)) == brute(rows, 4, 85, 100)
 
 
+def stock_lines(rng, docs):
+    """Texts that link with nothing but a changed copy, each with two of few lines that many texts share."""
+    stock = [prose(rng, 12) for _ in range(12)]
+    rows = []
+    for i in range(docs):
+        rows.append((i, "\n".join([prose(rng, 270), *rng.sample(stock, 2)])))
+    for i in range(0, docs, 40):
+        words = rows[i][1].split(" ")
+        words[100] = "changed"
+        rows.append((docs + i, " ".join(words)))
+    return rows
+
+
+def widest_block(monkeypatch):
+    """The sizes of the blocks of a join, as they are found."""
+    sizes, real = [], graph.components
+
+    def counted(links):
+        found = real(links).checkpoint()
+        sizes.append(max((r["count"] for r in found.groupBy("root").count().collect()), default=0))
+        return found
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    return sizes
+
+
+def test_lines_that_many_texts_share_do_not_chain_them_under_a_full_sketch(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELLS", 1 << 10)  # as full as the usual one over some GB
+    sizes = widest_block(monkeypatch)
+    rows = stock_lines(random.Random(31), 600)
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    assert answer(jaccard.ngram_join(docs, 4, 85, 100)) == brute(rows, 4, 85, 100)
+    assert 2 <= sizes[0] < 20
+
+
 def test_empty_table(spark):
     assert jaccard.ngram_join(documents(prepared(spark), empty=True)).count() == 0
 
