@@ -120,6 +120,19 @@ def test_lines_that_many_texts_share_do_not_chain_them_under_a_full_sketch(spark
     assert 2 <= sizes[0] < 20
 
 
+def test_pipeline_join_does_not_chain_texts_of_shared_lines(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "CELLS", 1 << 10)
+    sizes = widest_block(monkeypatch)
+    rows = stock_lines(random.Random(32), 600)
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = sorted(i for i, (_, component) in brute(rows, 5, 80, 100).items() if i == component)
+    assert sorted(r.doc_id for r in kept.collect()) == want and len(want) == 600
+    assert 2 <= sizes[0] < 20
+
+
 def test_empty_table(spark):
     assert jaccard.ngram_join(documents(prepared(spark), empty=True)).count() == 0
 
