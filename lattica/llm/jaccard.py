@@ -17,7 +17,8 @@ similarity of their sets is at least num/den. Steps, none of which lists all pai
    T - L of them is probed in the long lists by binary search; otherwise the T - L - 1 smallest heads are popped,
    and their lists jump by binary search to the head that is then smallest. The last members that were taken
    are searched first, for a link to one of them often closes all others. Blocks over ``SUB`` classes are
-   split into pairs of sub-blocks.
+   split into pairs of up to ``SPLIT`` sub-blocks, more only where one would hold over ``HELD`` shingles: so
+   often is a set copied. A task searches a sub-block over ``SUB_SIZE`` shingles piece by piece.
 5. Components of the links found; component_id is the smallest doc_id in them. A link between texts that other
    links already join need not be found for that; ``every`` finds and counts all.
 
@@ -32,21 +33,23 @@ import heapq
 import math
 import zlib
 from bisect import bisect_left
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lattica.llm import textops
 from lattica.llm.flat import spread
 from lattica.llm.graph import components
-from lattica.llm.session import lean, unused
+from lattica.llm.session import lean, tidy, unused
 
 CELLS, MOST, LOAD, RANGES, BRANCH = 1 << 22, 1 << 25, 32, 64, 16
 COMMON, SHORT, SUB, SUB_SIZE, SALTS = 32, 128, 256, 1 << 20, 16
+SPLIT, HELD = 16, 1 << 23
 MU, RECENT = 0.01, 2
 
 
@@ -70,6 +73,26 @@ def _sets(batch: pa.RecordBatch, words: int):
         yield part.column(0), textops.shingle_sets(part.column(1), words)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counters for a shuffle: which are not zero, a bit each, and these, low bytes first."""
+    on = counts > 0
+    some = counts[on].astype("<u8")
+    width = max(1, (int(some.max(initial=0)).bit_length() + 7) // 8)
+    return zlib.compress(bytes([width]) + np.packbits(on).tobytes() + some.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def unpacked(raw: bytes, wide: int) -> np.ndarray:
+    """The ``wide`` counters that ``packed`` packed."""
+    raw = zlib.decompress(raw)
+    on = np.unpackbits(np.frombuffer(raw, np.uint8, -(-wide // 8), 1), count=wide).view(bool)
+    planes = np.frombuffer(raw, np.uint8, offset=1 + -(-wide // 8)).reshape(raw[0], -1)
+    some = np.zeros((planes.shape[1], 8), np.uint8)
+    some[:, : raw[0]] = planes.T
+    counts = np.zeros(wide, np.int64)
+    counts[on] = some.view("<i8")[:, 0]
+    return counts
+
+
 def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
     """Marks of ``cells`` cells from counts over all rows.
 
@@ -93,7 +116,7 @@ def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
                 table[cell] = np.minimum(table[cell] + n, 65535)
         if seen:
             branch = np.full(RANGES, TaskContext.get().partitionId() % BRANCH, np.int32)
-            rows = [zlib.compress(table[r * wide : (r + 1) * wide].tobytes(), 1) for r in range(RANGES)]
+            rows = [packed(table[r * wide : (r + 1) * wide]) for r in range(RANGES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(branch), pa.array(rows, pa.binary())], ["range", "branch", "counts"])
 
     def added(last: bool):
@@ -101,7 +124,7 @@ def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
             now, counts = None, np.zeros(wide, np.int64)
 
             def row():
-                raw = np.packbits(marked(counts)).tobytes() if last else zlib.compress(counts.tobytes(), 1)
+                raw = np.packbits(marked(counts)).tobytes() if last else packed(counts)
                 return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([raw], pa.binary())], ["range", "branch", "counts"])
 
             for batch in batches:
@@ -111,7 +134,7 @@ def bitmap(values: DataFrame, make, cells: int, marked) -> np.ndarray:
                         yield row()
                         counts = np.zeros(wide, np.int64)
                     now = place
-                    counts += np.frombuffer(zlib.decompress(raw), np.int64 if last else np.uint16)
+                    counts += unpacked(raw, wide)
             if now is not None:
                 yield row()
 
@@ -142,6 +165,11 @@ def room(total: int) -> int:
     return max(CELLS, min(MOST, 1 << (-(-total // LOAD) - 1).bit_length()))
 
 
+def seats(total: int) -> int:
+    """Cells of a bitmap of so many ids, a power of two: with fewer for an id, more rows that are not meant pass."""
+    return max(CELLS, min(MOST, 1 << (LOAD * total - 1).bit_length() if total else 0))
+
+
 def divide_skip(lists: list[list[int]], least: int, mu: float = MU) -> dict[int, int]:
     """Members that are on at least ``least`` of ``lists`` (each ascending), and on how many of them."""
     lists = sorted((x for x in lists if x), key=len)
@@ -229,10 +257,10 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, every:
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the ids of ``gone`` (one long column, a checkpoint); a null id stays.
 
-    A bitmap of fixed size lets most rows pass beside the join, so that few texts are shuffled.
+    A bitmap lets most rows pass beside the join, so that few texts are shuffled.
     """
     (name,) = gone.columns
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(gone, lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], CELLS, lambda c: c > 0))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(gone, lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], seats(gone.count()), lambda c: c > 0))
     maybe, key = unused(docs, "_maybe"), unused(docs, "_gone")
 
     def mark(batches):
@@ -313,7 +341,7 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int, eve
                 for at, first in zip(short[lo:hi].tolist(), begin[lo:hi].tolist(), strict=True):
                     first += int(np.searchsorted(size[first:at], -(-size[at] * num // den)))
                     if first < at:
-                        rows.append((cls[at], size[at], cls[first:at].tobytes(), size[first:at].tobytes()))
+                        rows.append((cls[at], size[at], cls[first:at].tobytes(), size[first:at].astype(np.int32).tobytes()))
                 if rows:
                     c, n, others, sizes = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(c)), pa.array(np.array(n)), pa.array(others, pa.binary()), pa.array(sizes, pa.binary())], ["cls", "n", "others", "sizes"])
@@ -326,7 +354,7 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int, eve
             y = np.frombuffer(b"".join(others), np.int64)
             x, nx = np.repeat(table["cls"].to_numpy(), times), np.repeat(table["n"].to_numpy(), times)
             ny = np.zeros(len(y), np.int64)
-            ny[nx > 0] = np.frombuffer(b"".join([o for o in table["sizes"].to_pylist() if o]), np.int64)
+            ny[nx > 0] = np.frombuffer(b"".join([o for o in table["sizes"].to_pylist() if o]), np.int32)
             pairs, shared = np.unique(np.stack([x, y, nx, ny], 1), axis=0, return_counts=True)
             x, y, nx, ny = pairs.T
             on = (nx == 0) | (shared >= need(nx, ny, num, den) - -(-nx * num // den) + 1)
@@ -342,6 +370,29 @@ def links(docs: DataFrame, known: DataFrame, words: int, num: int, den: int, eve
     return verified(docs, near, known, rep_sets, num, den, every)
 
 
+def sub_blocks(classes: Column, shingles: Column) -> Column:
+    """Sub-blocks of a block with so many classes and shingles: each of its sets is copied so often."""
+    fine = F.greatest(F.ceil(classes / SUB), F.ceil(shingles / SUB_SIZE))
+    return F.greatest(F.least(fine, F.lit(SPLIT)), F.ceil(shingles / HELD)).cast("int")
+
+
+def search_pieces(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, every: bool = False) -> list[tuple[int, int]]:
+    """``search`` over pairs of pieces of some ``SUB_SIZE`` shingles of one side each, which bound its memory."""
+    sizes, piece = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64)
+    for k in np.unique(sides):
+        on = np.flatnonzero(sides == k)
+        piece[on] = (np.cumsum(sizes[on]) - 1) // SUB_SIZE
+    labels, of = np.unique(np.stack([sides.astype(np.int64), piece], 1), axis=0, return_inverse=True)
+    two, found, of = len(np.unique(sides)) > 1, [], of.reshape(-1)
+    for a, b in combinations_with_replacement(range(len(labels)), 2):
+        if two and labels[a, 0] == labels[b, 0]:
+            continue
+        at = np.flatnonzero((of == a) | (of == b))
+        if len(at) > 1:
+            found += [(int(at[x]), int(at[y])) for x, y in search([sets[k] for k in at], of[at], num, den, every)]
+    return found
+
+
 def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num: int, den: int, every: bool = False) -> DataFrame:
     """(a, b): links of at least num/den that connect all linked classes of each component of ``near``
     (a, b). ``known`` has a row per class (cls, n, rep): set size and the smallest id of a text that
@@ -349,7 +400,7 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
     spark = docs.sparkSession
     blocks = components(near)
     placed = known.join(blocks, known.cls == blocks.node).select("cls", "rep", "n", F.col("root").alias("block")).checkpoint()
-    wanted = bitmap(placed.select("rep"), lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], CELLS, lambda c: c > 0)
+    wanted = bitmap(placed.select("rep"), lambda batch: [textops.mix(batch.column(0).to_numpy().view(textops.U))], seats(placed.count()), lambda c: c > 0)
     reps = spark.sparkContext.broadcast(wanted)
 
     def fetch(batches):
@@ -360,7 +411,7 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
                 yield pa.RecordBatch.from_arrays([rows, pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cls", "shingles"])
 
     held = docs.mapInArrow(lean(fetch), "rep long, cls long, shingles binary")
-    room = placed.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("block", F.greatest(F.ceil(F.col("c") / SUB), F.ceil(F.col("s") / SUB_SIZE)).cast("int").alias("m"))
+    room = placed.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("block", sub_blocks(F.col("c"), F.col("s")).alias("m"))
     sub = F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")
     # a block may hold a large share of the rows: its one row in ``room`` is copied for each salt
     salted = room.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -373,7 +424,7 @@ def verified(docs: DataFrame, near: DataFrame, known: DataFrame, rep_sets, num:
         for group in textops.groups(batches, ["block", "i", "j"]):
             cls, at = np.unique(group["cls"].to_numpy(), return_index=True)
             raw, sub = group["shingles"].to_pylist(), group["sub"].to_numpy()
-            found = search([np.frombuffer(raw[k], textops.U) for k in at], sub[at], num, den, every) if len(cls) > 1 else []
+            found = search_pieces([np.frombuffer(raw[k], textops.U) for k in at], sub[at], num, den, every) if len(cls) > 1 else []
             if found:
                 pairs = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, 0]]), pa.array(cls[pairs[:, 1]])], ["a", "b"])
@@ -388,12 +439,13 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     repeated rows among them (null for a null id); its work grows with the number of links."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = slim.where(F.col("doc_id").isNotNull())
-    rows = classes(slim, words).checkpoint()
-    known = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")).checkpoint()
-    near = links(named, known.select("cls", "n", "rep"), words, num, den, every)
-    near = near.checkpoint() if every else near
-    same = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
-    roots = components(near.union(same)).checkpoint()
+    with tidy(docs.sparkSession):
+        rows = classes(slim, words).checkpoint()
+        known = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")).checkpoint()
+        near = links(named, known.select("cls", "n", "rep"), words, num, den, every)
+        near = near.checkpoint() if every else near
+        same = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
+        roots = components(near.union(same)).checkpoint()
     joined = known.join(roots, known.cls == roots.node, "left").select("cls", "rep", "copies", F.coalesce("root", "cls").alias("root"))
     # a component may hold a large share of the rows: its one row of ``least`` is copied for each salt
     least = joined.groupBy("root").agg(F.min("rep").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,22 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of each execution inside go when it ends, and not only when the driver happens to collect its
+    garbage; for work cut by checkpoint(), that reads none of them again. Spark before 4.1 ignores the setting."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``docs`` has it."""
     taken = {c.lower() for c in docs.columns}

@@ -1,8 +1,13 @@
+import glob
 import math
+import os
 import random
 import re
+import tempfile
+import zlib
 from itertools import combinations
 
+import numpy as np
 import pytest
 from tests.llm.fixtures import documents, prose
 
@@ -133,6 +138,70 @@ def test_pipeline_join_does_not_chain_texts_of_shared_lines(spark, monkeypatch):
     assert 2 <= sizes[0] < 20
 
 
+def shuffle_files(spark):
+    folders = {spark.conf.get("spark.local.dir", "/tmp"), tempfile.gettempdir(), os.environ.get("SPARK_LOCAL_DIRS", "/tmp")}
+    return {f: os.path.getsize(f) for d in folders for f in glob.glob(f"{d}/blockmgr-*/*/shuffle_*.data")}
+
+
+def test_pipeline_join_leaves_no_shuffles_behind(spark):
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    rows = [(i, prose(rng, 300)) for i in range(600)]
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    before = shuffle_files(spark)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    left = sum(n for f, n in shuffle_files(spark).items() if f not in before)
+    assert kept.count() == 600
+    # the prefixes of all texts are some 600 * 60 rows of 20 bytes; these, the sketch and the sets are used up here
+    assert left < 100_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_wide_blocks_are_copied_a_few_times_only(spark):
+    cases = [(1, 300), (256, 80_000), (2560, 500_000), (7600, 2_800_000), (40, 3 << 20), (38_000, 14_000_000), (500_000, 1 << 27)]
+    frame = spark.createDataFrame(cases, "c long, s long")
+    sub = [r.m for r in frame.select(jaccard.sub_blocks(frame.c, frame.s).alias("m")).collect()]
+    assert sub == [1, 1, 10, 16, 3, 16, 16]
+
+
+@pytest.mark.parametrize("every", [False, True])
+@pytest.mark.parametrize("two", [False, True])
+def test_search_by_pieces_equals_search(monkeypatch, every, two):
+    rng = np.random.default_rng(34)
+    base = [rng.integers(0, 1 << 60, 60, textops.U) for _ in range(6)]
+    sets = []
+    for i in range(90):
+        one = base[i % 6].copy()
+        one[rng.integers(0, 60, 3)] = rng.integers(0, 1 << 60, 3, textops.U)
+        sets.append(np.unique(one))
+    sides = np.arange(90) % 4 // 2 if two else np.zeros(90, int)
+    assert len(jaccard.search(sets, sides, 80, 100, every)) > 20
+    want = jaccard.search(sets, sides, 80, 100, every)
+    monkeypatch.setattr(jaccard, "SUB_SIZE", 500)  # some 8 sets a piece
+    got = jaccard.search_pieces(sets, sides, 80, 100, every)
+
+    def joined(links):
+        forest = graph.Forest(90)
+        for a, b in links:
+            forest.join(a, b)
+        return [forest.find(x) for x in range(90)]
+
+    assert joined(got) == joined(want)
+    if every:
+        assert sorted(map(sorted, got)) == sorted(map(sorted, want))
+    if two:
+        assert all(sides[a] != sides[b] for a, b in got)
+
+
+def test_counters_are_packed_small():
+    rng = np.random.default_rng(35)
+    for counts in (np.zeros(64, np.int64), np.arange(64) * 70_000, rng.poisson(0.1, 1 << 16).astype(np.uint16), np.full(4096, 65535, np.uint16)):
+        assert (jaccard.unpacked(jaccard.packed(counts), len(counts)) == counts).all()
+    sparse = rng.poisson(0.1, 1 << 16).astype(np.uint16)
+    assert 2 * len(jaccard.packed(sparse)) < len(zlib.compress(sparse.tobytes(), 1))
+
+
 def test_empty_table(spark):
     assert jaccard.ngram_join(documents(prepared(spark), empty=True)).count() == 0
 
